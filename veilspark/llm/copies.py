@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from .lookalike import CYRILLIC, GREEK, OTHER_SCRIPTS, default_normalizer, fingerprint
-from .storage import shared_folder
+from .storage import shared_folder, written
 
 REQUIRED_FIELDS = frozenset({"task", "tone", "audience", "ref"})
 _GAP = re.compile("(?:[^\\w" + chr(0x300) + "-" + chr(0x36F) + "]|_)+")  # combining accents belong to letters
@@ -132,7 +132,7 @@ class CopyLedger:
     left out by ``keyed_records``. An empty batch leaves the ledger as it is.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16) -> None:
         self.spark, self.buckets = spark, buckets
         self.path = path or shared_folder(spark, f"ledger-{uuid.uuid4().hex}")
         self.versions: dict[int, str] = {}
@@ -140,6 +140,9 @@ class CopyLedger:
     def _bucket(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
 
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
+
     def add(self, batch: DataFrame) -> None:
         fresh = (
             batch.distinct()
@@ -149,13 +152,13 @@ class CopyLedger:
         )
         name = f"{self.path}/v{len(set(self.versions.values())):06d}-{uuid.uuid4().hex[:8]}"
         if not self.versions:
-            fresh.write.partitionBy("bucket").parquet(name)
+            self._write(fresh, name)
         else:
             staged = f"{name}-batch"
-            fresh.write.partitionBy("bucket").parquet(staged)
+            self._write(fresh, staged)
             touched = self.spark.read.parquet(staged)
             old = self._read([r["bucket"] for r in touched.select("bucket").distinct().collect()])
-            self._merge(old, touched.select("grp", "key", "n", "first_id")).write.partitionBy("bucket").parquet(name)
+            self._write(self._merge(old, touched.select("grp", "key", "n", "first_id")), name)
         written = self.spark.read.parquet(name)
         if "bucket" in written.columns:
             self.versions.update({r["bucket"]: name for r in written.select("bucket").distinct().collect()})
@@ -185,3 +188,19 @@ class CopyLedger:
     def table(self) -> DataFrame:
         """(grp, key, n, first_id): one row per set of copies, n its records, first_id the smallest id."""
         return self._read()
+
+
+def copies_of(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """(grp, first_id, copy_id): every record that is a copy of a record of its group with a smaller id.
+
+    Sets that hold more than a thousandth of all records are fewer than a thousand, so
+    their ledger rows are broadcast; all others meet their records in a shuffled join.
+    """
+    sets = table.where("n > 1")
+    records = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sets.where(F.col("n") * 1000 > records)
+    rest = sets.where(F.col("n") * 1000 <= records)
+    on_hot = keyed.join(F.broadcast(hot), ["grp", "key"])
+    on_rest = keyed.join(F.broadcast(hot.select("grp", "key")), ["grp", "key"], "left_anti").join(rest, ["grp", "key"])
+    both = on_hot.unionByName(on_rest)
+    return both.where("id <> first_id").select("grp", "first_id", F.col("id").alias("copy_id")).distinct()

@@ -73,34 +73,34 @@ def merge(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
     return parts.groupBy(*groups, "what", "r").agg(F.max("k").alias("k"))
 
 
+def cardinalities(values: np.ndarray, counts: np.ndarray, starts: np.ndarray, m: int, base: float) -> np.ndarray:
+    """Maximum-likelihood counts of many sketches at once, from their histograms of register values above 0.
+
+    ``values`` and ``counts`` hold the histograms one after another, ``starts`` where each
+    begins (none is empty). The derivative of each log likelihood falls in the log rate, so
+    bisection finds all maxima together.
+    """
+    values, counts = values.astype(float), counts.astype(float)
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+    zero = m - np.add.reduceat(counts, starts)
+    top = values >= limit_for(base)  # the top register has no upper end
+    upper, below = np.where(top, 0.0, base**-values), base ** -(values - 1)
+    low, high = np.full(len(starts), -25.0), np.full(len(starts), 45.0)
+    for _ in range(48):
+        middle = (low + high) / 2
+        rate = np.exp(middle)
+        r = rate[owner]
+        gap = np.clip(r * (below - upper), 1e-300, _TAIL)
+        slope = np.add.reduceat(counts * (gap / np.expm1(gap) - r * upper), starts) - rate * zero
+        up = slope > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    return m * np.exp((low + high) / 2)
+
+
 def _cardinality(histogram: dict[int, int], m: int, base: float) -> float:
-    """Maximum-likelihood count from the number of registers at each value above 0."""
-    values = np.array(sorted(histogram), float)
-    counts = np.array([histogram[int(v)] for v in values], float)
-    zero = m - counts.sum()
-    if counts.sum() == 0:
+    if not histogram:
         return 0.0
-    top = limit_for(base)
-    upper = base ** -values
-    lower = np.where(values >= top, np.inf, base ** -values)  # the top register has no upper end
-    below = base ** -(values - 1)
-
-    def slope(log_rate: float) -> float:
-        rate = math.exp(log_rate)
-        # d/d(rate) of sum c ln(exp(-rate*upper) - exp(-rate*below)) - rate*zero, times rate
-        gap = np.clip(rate * (below - upper), 1e-300, _TAIL)
-        inner = -rate * upper + gap / np.expm1(gap)
-        inner = np.where(np.isinf(lower), rate * below / np.expm1(np.clip(rate * below, 1e-300, _TAIL)), inner)
-        return float((counts * inner).sum() - rate * zero)
-
-    low, high = -40.0, 45.0
-    for _ in range(80):
-        middle = (low + high) / 2
-        if slope(middle) > 0:
-            low = middle
-        else:
-            high = middle
-    return m * math.exp((low + high) / 2)
+    return float(cardinalities(np.array(list(histogram)), np.array(list(histogram.values())), np.array([0]), m, base)[0])
 
 
 def counts(parts: DataFrame, groups: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
@@ -112,21 +112,19 @@ def counts(parts: DataFrame, groups: Sequence[str], m: int = M, base: float = BA
         parts.groupBy(*groups, "what", "k")
         .agg(F.count("*").cast("int").alias("n"))
         .groupBy(*groups, "what")
-        .agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("h"))
+        .agg(F.collect_list(F.struct("k", "n")).alias("h"))
+        .select(*groups, "what", F.col("h.k").alias("ks"), F.col("h.n").alias("ns"))
     )
     schema = T.StructType([*(histogram.schema[g] for g in groups), T.StructField("what", T.StringType()), T.StructField("estimate", T.DoubleType()), T.StructField("rel_error", T.DoubleType())])
     error = relative_error(m, base)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, float] = {}
         for pdf in batches:
-            out = []
-            for h in pdf["h"]:
-                key = tuple(sorted(dict(h).items()))
-                if key not in known:
-                    known[key] = _cardinality(dict(h), m, base)
-                out.append(known[key])
-            yield pdf[[*groups, "what"]].assign(estimate=out, rel_error=error)
+            if len(pdf):
+                sizes = pdf["ks"].map(len).to_numpy()
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                found = cardinalities(np.concatenate(pdf["ks"].to_list()), np.concatenate(pdf["ns"].to_list()), starts, m, base)
+                yield pdf[[*groups, "what"]].assign(estimate=found, rel_error=error)
 
     return histogram.mapInPandas(run, schema)
 
@@ -160,8 +158,8 @@ def joint_estimate(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float)
     nu = _cardinality(dict(zip(*np.unique(np.maximum(only_a, only_b)[np.maximum(only_a, only_b) > 0], return_counts=True))), m, base) / m
     z0 = max(na + nb - nu, 1e-3 * min(na, nb))
     v = np.log([max(na - z0, 1e-3 * na), max(nb - z0, 1e-3 * nb), z0])
-    best, step = likelihood(v), 0.5
-    while step > 1e-4:
+    best, step = likelihood(v), 0.2
+    while step > 1e-3:
         better = False
         for i in range(3):
             for s in (step, -step):
@@ -202,7 +200,8 @@ def joint(parts: DataFrame, groups: Sequence[str], key: str, m: int = M, base: f
             rows = [joint_estimate(dense(x), dense(y), m, base) for x, y in zip(pdf["sa"], pdf["sb"])]
             yield pd.concat([pdf[[f.name for f in fields]].reset_index(drop=True), pd.DataFrame(rows, columns=["union_est", "intersection_est", "jaccard_est", "jaccard_error"])], axis=1)
 
-    return pairs.mapInPandas(run, schema)
+    # Few rows, much work on each: spread them over all tasks.
+    return pairs.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, schema)
 
 
 def all_groupings(dimensions: Sequence[str]) -> list[tuple[str, ...]]:

@@ -1,0 +1 @@
+"""Operators on streams of text chunks and requests."""

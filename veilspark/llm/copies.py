@@ -136,10 +136,14 @@ class CopyLedger:
         self.spark, self.buckets = spark, buckets
         self.path = path or shared_folder(spark, f"ledger-{uuid.uuid4().hex}")
         self.versions: dict[int, str] = {}
+        self.schema: T.StructType | None = None
 
     def _bucket(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
 
+    def _open(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(path)
+
     def _write(self, rows: DataFrame, path: str) -> None:
         rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
 
@@ -150,18 +154,17 @@ class CopyLedger:
             .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
             .withColumn("bucket", self._bucket())
         )
+        self.schema = self.schema or fresh.schema
         name = f"{self.path}/v{len(set(self.versions.values())):06d}-{uuid.uuid4().hex[:8]}"
         if not self.versions:
             self._write(fresh, name)
         else:
             staged = f"{name}-batch"
             self._write(fresh, staged)
-            touched = self.spark.read.parquet(staged)
+            touched = self._open(staged)
             old = self._read([r["bucket"] for r in touched.select("bucket").distinct().collect()])
             self._write(self._merge(old, touched.select("grp", "key", "n", "first_id")), name)
-        written = self.spark.read.parquet(name)
-        if "bucket" in written.columns:
-            self.versions.update({r["bucket"]: name for r in written.select("bucket").distinct().collect()})
+        self.versions.update({r["bucket"]: name for r in self._open(name).select("bucket").distinct().collect()})
 
     def _merge(self, old: DataFrame, new: DataFrame) -> DataFrame:
         o = old.select("grp", "key", F.col("n").alias("on"), F.col("first_id").alias("of"))
@@ -181,7 +184,7 @@ class CopyLedger:
                 by_version.setdefault(version, []).append(b)
         out = None
         for version, own in by_version.items():
-            part = self.spark.read.parquet(version).where(F.col("bucket").isin(own)).select("grp", "key", "n", "first_id")
+            part = self._open(version).where(F.col("bucket").isin(own)).select("grp", "key", "n", "first_id")
             out = part if out is None else out.unionByName(part)
         return out if out is not None else self.spark.createDataFrame([], "grp string, key binary, n long, first_id long")
 

@@ -35,7 +35,7 @@ TYPES = ("EMAIL", "PHONE", "ADDRESS", "PERSON", "ID_NUMBER")
 
 # Cues by what they announce (compared without regard to case).
 PHONE_CUES = r"call(?: me)?|tel(?:ephone)?|t[ée]l(?:[ée]fono|[ée]phone)?|phone|text|cell|mobile|callback|hotline|fax|voice|picks? up|nobody|r[üu]ckruf|telefon|handy|ll[áa]me|ll[áa]mame|appelez|whatsapp"
-ID_CUES = r"ssn|soc|social(?: security)?(?: number| no\.?)?|soc\.? sec\.?(?: no\.?)?|nino|ni (?:number|no)|national insurance(?: number| no\.?)?|passport(?: no\.?| number)?|travel document|driving licen[cs]e|driver'?s?'? licen[cs]e|dl (?:number|no)|national id|id card|tax (?:id|number)|tin|steuer-?id|steuernummer|reisepass|personalausweis|ausweis|f[üu]hrerschein|dni|nie|nif|pasaporte|permiso de conducir|s[ée]curit[ée] sociale|s[ée]curit[ée]|sociale|passeport|permis de conduire|carte d'identit[ée]"
+ID_CUES = r"ssn|soc|insurance|social(?: security)?(?: number| no\.?)?|soc\.? sec\.?(?: no\.?)?|nino|ni (?:number|no)|national insurance(?: number| no\.?)?|passport(?: no\.?| number)?|travel document|driving licen[cs]e|driver'?s?'? licen[cs]e|dl (?:number|no)|national id|id card|tax (?:id|number)|tin|steuer-?id|steuernummer|reisepass|personalausweis|ausweis|f[üu]hrerschein|dni|nie|nif|pasaporte|permiso de conducir|s[ée]curit[ée] sociale|s[ée]curit[ée]|sociale|passeport|permis de conduire|carte d'identit[ée]"
 OTHER_CUES = r"card|iban|account|order(?: no\.?)?|ticket|invoice|rechnung|factura|facture|commande|pro[jy]e[ck]to?|projet|reference|ref|case|dossier|vorgang|expediente|part|version|release|flight|room|port|model|born|date of birth|birthday|gateway|requests|host|device|adapter|budget|between|index|serial|sku|tracking|id="
 PERSON_CUES = r"contact person|my name is|name is|i spoke with|spoke with|loop in|our tenant|this is about|ask for|sign the letter as|thanks|regards|sincerely|belongs to|ward notes say that|customer|attn|dear|ich hei[sß]+e|mein name ist|l[äa]uft auf|informieren sie|el titular es|titular|me llamo|mi nombre es|avise por favor a|au nom de|pr[ée]venir|je m'appelle|mon nom est"
 PERSON_AFTER = r"will sign for us|who called twice|moved out|slept well|from billing|at the desk|on tuesday|im vertrieb|en contabilidad"
@@ -331,22 +331,27 @@ def propose_spans(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"clean": clean, "spans": spans})
 
 
+#: P(vote against, abstain, for | false, true) assumed of a labeler before any data, and what it weighs in candidates.
+ASSUMED, PSEUDO = ((0.5, 0.1), (0.4, 0.4), (0.1, 0.5)), 25.0
+
+
 def estimate_reliability(votes: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns: P(true) per pattern, P(vote | class) per labeler as (L, 3, 2), P(true).
 
     ``votes`` is (patterns, labelers) in {-1, 0, 1}; ``weight`` counts each pattern.
-    Started from the sign of the vote sums; add-one smoothing keeps rare votes finite.
+    Started from the vote sums; ``PSEUDO`` assumed candidates keep small collections from drifting.
     """
     p = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
     table = np.zeros((votes.shape[1], 3, 2))
     prior = 0.5
     for _ in range(rounds):
         w1, w0 = weight * p, weight * (1 - p)
-        prior = float(np.clip(w1.sum() / weight.sum(), 0.02, 0.98))
+        prior = float(np.clip((w1.sum() + PSEUDO / 2) / (weight.sum() + PSEUDO), 0.02, 0.98))
         for lab in range(votes.shape[1]):
             for v in (-1, 0, 1):
                 hit = votes[:, lab] == v
-                table[lab, v + 1] = (w0[hit].sum() + 1) / (w0.sum() + 3), (w1[hit].sum() + 1) / (w1.sum() + 3)
+                assumed = ASSUMED[v + 1]
+                table[lab, v + 1] = (w0[hit].sum() + PSEUDO * assumed[0]) / (w0.sum() + PSEUDO), (w1[hit].sum() + PSEUDO * assumed[1]) / (w1.sum() + PSEUDO)
             # A vote for may not lower the odds, nor a vote against raise them: labelers are better than chance.
             for v, sign in ((-1, -1), (1, 1)):
                 a, b = table[lab, v + 1]

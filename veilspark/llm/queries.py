@@ -50,13 +50,13 @@ def p3_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection and Jaccard of the users (and sessions) of each two entity types."""
     parts = sketches.registers(_p3_rows(spark, sf_dir), ["entity_type"], ["user_id", "session_id"])
-    return sketches.joint(parts, [], "entity_type")
+    return sketches.joint(parts, [], "entity_type", ["user_id", "session_id"])
 
 
 def p3_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts of users beside the verdict whether the estimate is within five stated errors (plus one), per type and policy."""
     rows = _p3_rows(spark, sf_dir).where("entity_type is not null and policy is not null")
-    estimate = sketches.counts(sketches.registers(rows, ["entity_type", "policy"], ["user_id"]), ["entity_type", "policy"])
+    estimate = sketches.counts(sketches.registers(rows, ["entity_type", "policy"], ["user_id"]), ["entity_type", "policy"], ["user_id"])
     exact = rows.groupBy("entity_type", "policy").agg(F.countDistinct("user_id").alias("users")).where("users > 0")
     error = F.abs(F.col("estimate") - F.col("users")) <= 1 + 5 * F.col("rel_error") * F.col("users")
     return exact.join(estimate, ["entity_type", "policy"]).select("entity_type", "policy", "users", error.alias("within_bound"))

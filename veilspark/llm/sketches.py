@@ -52,25 +52,31 @@ def value_of(identifier: Column, base: float = BASE) -> Column:
 
 
 def registers(rows: DataFrame, groups: Sequence[str], identifiers: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
-    """Mergeable partial results: (groups, what, r, k), one row per register above 0.
+    """Mergeable partial results: (groups, slot, k), one row per register above 0.
 
-    ``what`` names the identifier column. Null identifiers don't count; a null group value
-    is a group of its own here, so that coarser groups can be rolled up from these rows.
+    The registers of the i-th identifier column have slots i * m to i * m + m - 1. Null
+    identifiers don't count; a null group value is a group of its own here, so that coarser
+    groups can be rolled up from these rows.
     """
     # One pass: each row explodes into its identifiers before the map-side maximum.
-    items = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("id")) for c in identifiers])
+    items = F.array(*[F.struct(F.lit(i * m).alias("first"), F.col(c).cast("string").alias("id")) for i, c in enumerate(identifiers)])
     return (
         rows.select(*groups, F.explode(items).alias("i"))
         .where("i.id is not null")
-        .select(*groups, "i.what", register_of(F.col("i.id"), m).alias("r"), value_of(F.col("i.id"), base).alias("k"))
-        .groupBy(*groups, "what", "r")
+        .select(*groups, (F.col("i.first") + register_of(F.col("i.id"), m)).alias("slot"), value_of(F.col("i.id"), base).alias("k"))
+        .groupBy(*groups, "slot")
         .agg(F.max("k").alias("k"))
     )
 
 
 def merge(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Registers of coarser groups, or of several partial results put together: the maximum per register."""
-    return parts.groupBy(*groups, "what", "r").agg(F.max("k").alias("k"))
+    return parts.groupBy(*groups, "slot").agg(F.max("k").alias("k"))
+
+
+def _what(identifiers: Sequence[str], m: int) -> Column:
+    """Name of the identifier column a slot belongs to."""
+    return F.get(F.array(*[F.lit(c) for c in identifiers]), F.floor(F.col("slot") / F.lit(m)).cast("int")).alias("what")
 
 
 def cardinalities(values: np.ndarray, counts: np.ndarray, starts: np.ndarray, m: int, base: float) -> np.ndarray:
@@ -103,13 +109,13 @@ def _cardinality(histogram: dict[int, int], m: int, base: float) -> float:
     return float(cardinalities(np.array(list(histogram)), np.array(list(histogram.values())), np.array([0]), m, base)[0])
 
 
-def counts(parts: DataFrame, groups: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
+def counts(parts: DataFrame, groups: Sequence[str], identifiers: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
     """(groups, what, estimate, rel_error) from registers: a histogram per group, then the likelihood's maximum.
 
     A group's histogram has at most ``limit_for(base)`` entries, whatever the group's size.
     """
     histogram = (
-        parts.groupBy(*groups, "what", "k")
+        parts.groupBy(*groups, _what(identifiers, m), "k")
         .agg(F.count("*").cast("int").alias("n"))
         .groupBy(*groups, "what")
         .agg(F.collect_list(F.struct("k", "n")).alias("h"))
@@ -176,13 +182,13 @@ def joint_estimate(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float)
     return float(union), float(z), float(j), math.sqrt(max(j * (1 - j), 1 / m) / m) * (1 + relative_error(m, base))
 
 
-def joint(parts: DataFrame, groups: Sequence[str], key: str, m: int = M, base: float = BASE) -> DataFrame:
+def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
     """(groups, what, key_a, key_b, union_est, intersection_est, jaccard_est, jaccard_error) for all pairs of keys in a group.
 
     For keys of a small dictionary, such as entity types: the sketches of one (group, what)
     are brought together as arrays of m registers each (bounded by keys times m); null keys don't form a set.
     """
-    sketch = parts.where(F.col(key).isNotNull()).groupBy(*groups, "what", key).agg(F.collect_list(F.struct("r", "k")).alias("s"))
+    sketch = parts.where(F.col(key).isNotNull()).groupBy(*groups, _what(identifiers, m), key).agg(F.collect_list(F.struct((F.col("slot") % m).alias("r"), "k")).alias("s"))
     fields = [*(parts.schema[g] for g in groups), T.StructField("what", T.StringType()), T.StructField(f"{key}_a", T.StringType()), T.StructField(f"{key}_b", T.StringType())]
     schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in ("union_est", "intersection_est", "jaccard_est", "jaccard_error"))])
     a = sketch.withColumnsRenamed({key: f"{key}_a", "s": "sa"})
@@ -223,7 +229,9 @@ def grouped_counts(rows: DataFrame, dimensions: Sequence[str], identifiers: Sequ
     built = {tuple(dims): written(registers(rows, dims, identifiers, m, base), "registers")}
     for g in all_groupings(dims)[1:]:
         parent = next(p for p in reversed(list(built)) if set(g) < set(p) and len(p) == len(g) + 1)
-        built[g] = merge(built[parent], list(g))
+        merged = merge(built[parent], list(g))
+        # What coarser groupings are rolled up from is written, or each of them would compute it again.
+        built[g] = written(merged, "registers") if len(g) > 1 else merged
     out = None
     for g, parts in built.items():
         for d in g:
@@ -231,9 +239,8 @@ def grouped_counts(rows: DataFrame, dimensions: Sequence[str], identifiers: Sequ
         full = parts.select(
             *[F.col(d) if d in g else F.lit(None).cast(rows.schema[d].dataType).alias(d) for d in dims],
             F.lit(",".join(g) or "all").alias("grouping"),
-            "what",
-            "r",
+            "slot",
             "k",
         )
         out = full if out is None else out.unionByName(full)
-    return counts(out, [*dims, "grouping"], m, base)
+    return counts(out, [*dims, "grouping"], identifiers, m, base)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in ``order``. Keeps every column."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the one with the greatest values of ``order``; every column stays.
+
+    A plain aggregation: rows of one key are reduced before the shuffle, however many there are.
+    """
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
 
 
 def upsert_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def upsert_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
 
     Of several changes to one id the latest by ``created_at`` counts.
     """
-    last = latest_per_key(changes, ["session_id"], [F.desc("created_at"), F.desc("expires_at")])
+    last = latest_per_key(changes, ["session_id"], ["created_at", "expires_at"])
     fresh = last.select(*[F.col(c).alias(f"_new_{c}") for c in sessions.columns])
     joined = sessions.join(fresh, F.col("session_id") == F.col("_new_session_id"), "full_outer")
     known = F.col("session_id").isNotNull()

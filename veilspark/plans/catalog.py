@@ -11,6 +11,7 @@ from veilspark.functions import detectors, report, rewrite, strategies
 from veilspark.functions.policy import BUILT_IN, load_policy
 from veilspark.functions.resolve import resolve
 from veilspark.operators import audit, cached, conversation, evaluate, limits, scan, store
+from veilspark.sources.readers import spread
 from veilspark.sources.sinks import result_json
 
 from . import oracle
@@ -38,6 +39,10 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(_read(spark, d, name))
+
+
 def _now():
     return F.to_timestamp_ntz(F.lit("2026-05-01 00:00:00"))
 
@@ -51,12 +56,12 @@ def _anonymized(docs: DataFrame, **options) -> DataFrame:
 
 @query(anonymized("documents", "doc_id", "text") + " select k as doc_id, anonymized, entities from done")
 def anonymize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _anonymized(_read(spark, d, "documents")).select("doc_id", F.col("a.text").alias("anonymized"), F.coalesce(F.size("a.entries"), F.lit(0)).alias("entities"))
+    return _anonymized(_texts(spark, d, "documents")).select("doc_id", F.col("a.text").alias("anonymized"), F.coalesce(F.size("a.entries"), F.lit(0)).alias("entities"))
 
 
 def _policy_query(policy: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _anonymized(_read(spark, d, "documents"), policy=policy).select("doc_id", F.md5("a.text").alias("digest"), F.coalesce(F.size("a.entries"), F.lit(0)).alias("entities"))
+        return _anonymized(_texts(spark, d, "documents"), policy=policy).select("doc_id", F.md5("a.text").alias("digest"), F.coalesce(F.size("a.entries"), F.lit(0)).alias("entities"))
 
     run.__name__ = f"anonymize_{policy}"
     query(anonymized("documents", "doc_id", "text", policy) + " select k as doc_id, md5(anonymized) as digest, entities from done")(run)
@@ -68,7 +73,7 @@ for _p in ("gdpr_strict", "slm_local", "hipaa_phi", "pci_dss"):
 
 def _overlap_query(strategy: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _read(spark, d, "documents")
+        docs = _texts(spark, d, "documents")
         spans = resolve(detectors.detect(F.col("text")), F.col("text"), strategy)
         return docs.select("doc_id", F.explode(spans).alias("s")).select("doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
@@ -85,12 +90,12 @@ for _s in ("longest_match", "highest_confidence", "first_detector"):
 def resolve_merge(spark: SparkSession, d: str) -> DataFrame:
     """Union of overlapping spans of one type (checked against a plain fold in the tests)."""
     spans = resolve(detectors.detect(F.col("text"), ("enhanced_regex", "regex")), F.col("text"), "merge")
-    return _read(spark, d, "documents").select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end", "s.text")
+    return _texts(spark, d, "documents").select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end", "s.text")
 
 
 @query("with " + spans_cte("documents", "doc_id", "text") + ' select k as doc_id, t as entity_type, s as start, e as "end", ord, substring(src.text, s + 1, e - s) as value from spans join src using (k)')
 def detect_basic(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"))).alias("s"))
+    docs = _texts(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"))).alias("s"))
     return docs.select("doc_id", "s.entity_type", "s.start", "s.end", "s.ord", F.col("s.text").alias("value"))
 
 
@@ -99,7 +104,7 @@ _ENHANCED = tuple(sorted(detectors.ENHANCED_RULES, key=lambda r: -r.priority))
 
 @query("with " + spans_cte("documents", "doc_id", "text", _ENHANCED, True) + "," + claimed_cte() + ' select k as doc_id, t as entity_type, s as start, e as "end", c as confidence from claimed')
 def detect_enhanced(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), ("enhanced_regex",))).alias("s"))
+    docs = _texts(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), ("enhanced_regex",))).alias("s"))
     return docs.select("doc_id", "s.entity_type", "s.start", "s.end", "s.confidence")
 
 
@@ -109,7 +114,7 @@ def detect_enhanced(spark: SparkSession, d: str) -> DataFrame:
 )
 def enhanced_confident_counts(spark: SparkSession, d: str) -> DataFrame:
     spans = resolve(detectors.detect(F.col("text"), ("enhanced_regex",), 0.8), F.col("text"), "highest_confidence")
-    return _read(spark, d, "documents").select(F.explode(spans).alias("s")).groupBy("s.entity_type").agg(F.count("*").alias("spans"), F.round(F.avg("s.confidence"), 6).alias("avg_confidence"))
+    return _texts(spark, d, "documents").select(F.explode(spans).alias("s")).groupBy("s.entity_type").agg(F.count("*").alias("spans"), F.round(F.avg("s.confidence"), 6).alias("avg_confidence"))
 
 
 _SOME_TYPES = tuple(r for r in _ENHANCED if r.entity_type in ("SSN", "IBAN", "MAC_ADDRESS", "URL"))
@@ -118,7 +123,7 @@ _SOME_TYPES = tuple(r for r in _ENHANCED if r.entity_type in ("SSN", "IBAN", "MA
 @query("with " + spans_cte("documents", "doc_id", "text", _SOME_TYPES, True) + "," + claimed_cte() + " select k as doc_id, t as entity_type, s as start from claimed")
 def detect_selected_types(spark: SparkSession, d: str) -> DataFrame:
     chosen = detectors.EnhancedDetector(("SSN", "IBAN", "MAC_ADDRESS", "URL"))
-    return _read(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), (chosen,))).alias("s")).select("doc_id", "s.entity_type", "s.start")
+    return _texts(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), (chosen,))).alias("s")).select("doc_id", "s.entity_type", "s.start")
 
 
 _OPTIONAL = tuple(r for rules in detectors.OPTIONAL_RULES.values() for r in rules)
@@ -126,7 +131,7 @@ _OPTIONAL = tuple(r for rules in detectors.OPTIONAL_RULES.values() for r in rule
 
 @query("with " + spans_cte("documents", "doc_id", "text", _OPTIONAL) + " select k as doc_id, t as entity_type, s as start, e - s as width from spans")
 def detect_optional(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), ("api_key", "employee_id", "mrn"))).alias("s"))
+    docs = _texts(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), ("api_key", "employee_id", "mrn"))).alias("s"))
     return docs.select("doc_id", "s.entity_type", "s.start", (F.col("s.end") - F.col("s.start")).alias("width"))
 
 
@@ -136,19 +141,19 @@ def unresolved_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Numbers without overlap resolution, as the asynchronous form gives them."""
     policy = load_policy("default_pii")
     numbered = rewrite.number_placeholders(rewrite.kept_spans(F.col("text"), policy, overlap="none"), policy)
-    docs = _read(spark, d, "documents").select("doc_id", F.explode(numbered).alias("s"))
+    docs = _texts(spark, d, "documents").select("doc_id", F.explode(numbered).alias("s"))
     return docs.select("doc_id", "s.entity_type", F.regexp_extract("s.placeholder", r"(\d+)", 1).cast("bigint").alias("n"), "s.start")
 
 
 @query("select doc_id, text as restored from documents where text is not null and not regexp_matches(text, '\\[(EMAIL|PHONE|NAME|IP|CC|SSN)_\\d+\\]')")
 def roundtrip_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").where(r"text is not null and not text rlike '\\[(EMAIL|PHONE|NAME|IP|CC|SSN)_[0-9]+\\]'")
+    docs = _texts(spark, d, "documents").where(r"text is not null and not text rlike '\\[(EMAIL|PHONE|NAME|IP|CC|SSN)_[0-9]+\\]'")
     return _anonymized(docs).select("doc_id", rewrite.deanonymize_entries(F.col("a.text"), F.col("a.entries")).alias("restored"))
 
 
 @query(anonymized("documents", "doc_id", "text") + " select k as doc_id, i as position, label as placeholder, v as original, t as entity_type from (select labelled.* replace (row_number() over (partition by k order by s) - 1 as i) from labelled)")
 def mapping_entries(spark: SparkSession, d: str) -> DataFrame:
-    docs = _anonymized(_read(spark, d, "documents"))
+    docs = _anonymized(_texts(spark, d, "documents"))
     types = {"NAME": "PERSON", "IP": "IP_ADDRESS", "CC": "CREDIT_CARD"}
     rows = store.mapping_rows(docs.select("doc_id", F.col("a.entries").alias("entries")), "doc_id", "entries")
     return rows.select(F.col("session_id").alias("doc_id"), F.col("position").cast("bigint").alias("position"), "placeholder", "original", detectors.normal_type(F.col("entity_type"), types).alias("entity_type"))
@@ -158,8 +163,8 @@ def mapping_entries(spark: SparkSession, d: str) -> DataFrame:
 def json_results(spark: SparkSession, d: str) -> DataFrame:
     """The JSON result of a document, read back."""
     result = F.from_json(result_json(rewrite.anonymize(F.col("text"))), "anonymized_text string, mapping map<string,string>, entity_count int")
-    docs = _read(spark, d, "documents").select("doc_id", result.alias("r"), F.col("text").isNull().alias("empty"))
-    return docs.select("doc_id", F.when(F.col("empty"), 0).otherwise(F.col("r.entity_count")).alias("entity_count"), F.length("r.anonymized_text").alias("n"))
+    docs = _texts(spark, d, "documents").select("doc_id", result.alias("r"), F.col("text").isNull().alias("empty"))
+    return docs.select("doc_id", F.when(F.col("empty"), 0).otherwise(F.col("r.entity_count")).alias("entity_count"), F.length("r.anonymized_text").cast("bigint").alias("n"))
 
 
 # Strategies
@@ -169,7 +174,7 @@ _VALUES = anonymized("documents", "doc_id", "text")
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
     policy = load_policy("default_pii")
-    return _read(spark, d, "documents").select("doc_id", F.explode(rewrite.kept_spans(F.col("text"), policy)).alias("s")).select("doc_id", "s.entity_type", "s.start", F.col("s.text").alias("value"))
+    return _texts(spark, d, "documents").select("doc_id", F.explode(rewrite.kept_spans(F.col("text"), policy)).alias("s")).select("doc_id", "s.entity_type", "s.start", F.col("s.text").alias("value"))
 
 
 @query(_VALUES + " select k as doc_id, s as start, sha256('pepper' || v)[1:16] as sha, md5(v) as md from labelled")
@@ -215,16 +220,16 @@ facts as (
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").where("text is not null").select("doc_id", report.report(F.col("text"), detectors.detect(F.col("text")), True).alias("r"))
+    return _texts(spark, d, "documents").where("text is not null").select("doc_id", report.report(F.col("text"), detectors.detect(F.col("text")), True).alias("r"))
 
 
 @query("with " + _PER_DOC + " select k as doc_id, n as total_chars, chars as pii_chars, entities, round(coverage, 9) as coverage, risk from report")
 def detection_report(spark: SparkSession, d: str) -> DataFrame:
     r = _reports(spark, d)
-    return r.select("doc_id", "r.total_chars", "r.pii_chars", F.size("r.entities").alias("entities"), F.round("r.coverage", 9).alias("coverage"), "r.risk")
+    return r.select("doc_id", F.col("r.total_chars").cast("bigint").alias("total_chars"), "r.pii_chars", F.size("r.entities").alias("entities"), F.round("r.coverage", 9).alias("coverage"), "r.risk")
 
 
-@query("with " + _PER_DOC + " select risk, count(*) as documents, sum(entities) as entities from report group by risk")
+@query("with " + _PER_DOC + " select risk, count(*) as documents, sum(entities)::bigint as entities from report group by risk")
 def risk_distribution(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).groupBy("r.risk").agg(F.count("*").alias("documents"), F.sum(F.size("r.entities")).alias("entities"))
 
@@ -244,18 +249,18 @@ def report_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with " + spans_cte("documents", "doc_id", "text") + " select t as entity_type, count(*) as spans, count(distinct k) as documents from spans group by t")
 def spans_by_type(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"))).alias("s"))
+    rows = _texts(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"))).alias("s"))
     return rows.groupBy("s.entity_type").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query("with " + spans_cte("documents", "doc_id", "text") + ", f as (select k, text, count(s) as n from src left join spans using (k) group by all) select count(*) as files, count(*) filter (n > 0 or text is null) as files_with_pii, sum(n)::bigint as entities from f")
 def scan_totals(spark: SparkSession, d: str) -> DataFrame:
-    return scan.scan_totals(scan.scan(_read(spark, d, "documents"), "doc_id", "text"))
+    return scan.scan_totals(scan.scan(_texts(spark, d, "documents"), "doc_id", "text"))
 
 
 @query("with " + spans_cte("documents", "doc_id", "text") + " select k as doc_id, t as entity_type, list(substring(src.text, s + 1, e - s) order by ord) as found from spans join src using (k) group by k, t")
 def grouped_listing(spark: SparkSession, d: str) -> DataFrame:
-    return scan.listing(_read(spark, d, "documents"), "doc_id", "text")
+    return scan.listing(_texts(spark, d, "documents"), "doc_id", "text")
 
 
 _SAMPLES = anonymized("sample_prompts", "id", "text")
@@ -271,7 +276,7 @@ select {group}tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as
 
 def _evaluated(spark: SparkSession, d: str, group: list[str]) -> DataFrame:
     spans = rewrite.kept_spans(F.col("text"), "default_pii")
-    rows = _read(spark, d, "sample_prompts").select(
+    rows = _texts(spark, d, "sample_prompts").select(
         F.lower(F.trim(F.coalesce("category", F.lit("unknown")))).alias("category"), evaluate.confusion(F.col("expected_pii"), F.transform(spans, lambda s: s["entity_type"])).alias("c")
     )
     scored = evaluate.scores(rows, "c", group)
@@ -294,7 +299,7 @@ def evaluate_by_category(spark: SparkSession, d: str) -> DataFrame:
 ) select count(*) as samples, round(avg(case when length(text) > 0 then length(anonymized)::double / length(text) else 0 end), 6) as avg_char_ratio,
   round(avg(case when a > 0 then b::double / a else 0 end), 6) as avg_word_ratio, sum(entities)::bigint as total_pii from w""")
 def utility(spark: SparkSession, d: str) -> DataFrame:
-    docs = _anonymized(_read(spark, d, "documents")).select("text", F.col("a.text").alias("anonymized"), F.col("a.entries").alias("entries"))
+    docs = _anonymized(_texts(spark, d, "documents")).select("text", F.col("a.text").alias("anonymized"), F.col("a.entries").alias("entries"))
     return evaluate.utility(docs, "text", "anonymized", "entries").withColumns({c: F.round(c, 6) for c in ("avg_char_ratio", "avg_word_ratio")})
 
 
@@ -360,7 +365,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with " + spans_cte("documents", "doc_id", "text") + ", n as (select k, count(*)::int as c from spans group by k) select k as doc_id, t as entity_type, c as count from (select distinct k, t from spans) join n using (k)")
 def log_detections(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").withColumn("s", detectors.detect(F.col("text")))
+    docs = _texts(spark, d, "documents").withColumn("s", detectors.detect(F.col("text")))
     return store.detections_of(docs, ["doc_id"], "s")
 
 
@@ -512,7 +517,7 @@ def idle_gap_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select date_trunc('second', ts) as second, count(*) as requests, greatest(0, count(*) - 1) as rejected from events where ts is not null group by 1")
 def global_limit(spark: SparkSession, d: str) -> DataFrame:
-    return limits.per_second(_read(spark, d, "events"), "ts", 1)
+    return limits.per_second(_read(spark, d, "events"), "ts", 1).withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
 @query("""with n as (select max(received_at) as now from chat_requests)

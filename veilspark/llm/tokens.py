@@ -78,6 +78,17 @@ def _join_positions(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc": docs.column("doc"), "ids": out})
 
 
+def _input_bytes(rows: DataFrame) -> int:
+    """Size of the input by the planner's estimate from file sizes; where it has none, the texts are measured."""
+    try:
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001  the estimate is an internal of the planner
+        size = 1 << 62
+    if size < 1 << 50:
+        return size
+    return rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, ids): the token ids of every row's text, without special tokens (their strings are ordinary text).
 
@@ -87,15 +98,13 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(tuple(sorted(read_ranks(vocabulary).items())))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(width, -(-size // block_bytes))
-    blocks = -(-blocks // width) * width
-    # Several blocks share a shuffle partition; the hash of id and text spreads rows that share either.
-    laid = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).cast("int")).repartition(width, "block")
+    size = _input_bytes(rows)
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
+    # As many partitions as blocks, so a task's share doesn't grow; the hash of id and text spreads rows that share either.
+    laid = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     split = laid.select("block", "doc", split_words(F.col("text")).alias("words"))
     # One exchange of the texts and one of the words serve all their readers: the plans below them are equal.
-    own = split.mapInArrow(_block_words, "block int, word string").repartition(width, "word")
+    own = split.mapInArrow(_block_words, "block int, word string").repartition(blocks, "word")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(ranks.value).encode_ordinary

@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from veilspark.sources.readers import spread
+
+from .storage import written
+
 # Letters of other scripts that are drawn like a Latin letter.
 CYRILLIC = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p",
@@ -237,12 +241,14 @@ def same_look_pairs(records: DataFrame, group_col: str, id_col: str, text_col: s
     copies of one spelling are never joined with each other.
     """
     canonical = canonical_text(table)
-    keyed = (
+    # Written once: the rewrite runs in Python and five branches below read its result.
+    keyed = written(
         records.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where("t is not null and id is not null")
         .withColumn("c", canonical("t"))
         .where(F.trim(F.regexp_replace("c", r"\s+", " ")) != "")
-        .select("g", "id", fingerprint(F.col("c")).alias("look"), fingerprint(F.col("t")).alias("spelling"))
+        .select("g", "id", fingerprint(F.col("c")).alias("look"), fingerprint(F.col("t")).alias("spelling")),
+        "look-keys",
     )
     spellings = keyed.groupBy("g", "look", "spelling").agg(F.count("*").alias("n"))
     # Classes with one spelling are most of the corpus: they leave before anything is paired.
@@ -282,4 +288,4 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = spark.read.parquet(f"{sf_dir}/sample_prompts.parquet").select(
         F.lit("sample_prompts").alias("src"), F.col("id").cast("bigint").alias("rec_id"), "text"
     )
-    return chats.unionByName(samples)
+    return spread(chats).unionByName(spread(samples))

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.readers import spread
+
 from . import cooccurrence, copies, leaks, lookalike, pii, reading, sketches, terms, tokens
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,7 +118,7 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(_table(spark, sf_dir, "documents"))
+    return tokens.encode(_texts(spark, sf_dir))
 
 
 def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +127,11 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.leaks(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return reading.reading_levels(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -139,47 +139,48 @@ def joint_estimate(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float)
     """(union, intersection, jaccard, jaccard standard error) of two sets from their aligned registers, by maximum likelihood.
 
     With rates x, y, z for "only a", "only b", "both", the pair of register values has
-    P(A <= k, B <= l) = exp(-x b^-k - y b^-l - z b^-min(k, l)); the likelihood is that of
-    the observed pairs, maximised over x, y, z by coordinate search in the logarithms.
+    P(A <= k, B <= l) = exp(-x b^-k - y b^-l - z b^-min(k, l)). x + z and y + z are fixed at
+    the maximum-likelihood counts of the two sets; z maximises the likelihood of the
+    observed pairs (golden-section search). The error is that of the likelihood's curvature.
     """
+    na, nb = (_cardinality(dict(zip(*np.unique(s[s > 0], return_counts=True))), m, base) / m for s in (only_a, only_b))
+    if na == 0 or nb == 0:
+        return m * (na + nb), 0.0, 0.0, 0.0
     pairs, n = np.unique(np.stack([only_a, only_b]), axis=1, return_counts=True)
+    tail = lambda k: np.where(k < 0, np.inf, base ** -np.maximum(k, 0.0))
     k, l = pairs.astype(float)
-    k1, l1 = k - 1, l - 1
-
-    def cdf(a, b, x, y, z):
-        pa = np.where(a < 0, np.inf, base**-a)
-        pb = np.where(b < 0, np.inf, base**-b)
-        with np.errstate(invalid="ignore"):
-            return np.exp(-np.minimum(x * pa + y * pb + z * np.maximum(pa, pb), 700.0))
+    corners = [(tail(k - i), tail(l - j), 1 if i == j else -1) for i in (0, 1) for j in (0, 1)]
 
-    def likelihood(v: np.ndarray) -> float:
-        x, y, z = np.exp(v)
-        p = cdf(k, l, x, y, z) - cdf(k1, l, x, y, z) - cdf(k, l1, x, y, z) + cdf(k1, l1, x, y, z)
+    def likelihood(share: float) -> float:
+        z = share * min(na, nb)
+        with np.errstate(invalid="ignore", over="ignore"):
+            p = sum(sign * np.exp(-np.minimum((na - z) * a + (nb - z) * b + z * np.maximum(a, b), 700.0)) for a, b, sign in corners)
         return float((n * np.log(np.maximum(p, 1e-300))).sum())
 
-    na = _cardinality(dict(zip(*np.unique(only_a[only_a > 0], return_counts=True))), m, base) / m
-    nb = _cardinality(dict(zip(*np.unique(only_b[only_b > 0], return_counts=True))), m, base) / m
-    if na == 0 or nb == 0:
-        return m * (na + nb), 0.0, 0.0, 0.0
-    nu = _cardinality(dict(zip(*np.unique(np.maximum(only_a, only_b)[np.maximum(only_a, only_b) > 0], return_counts=True))), m, base) / m
-    z0 = max(na + nb - nu, 1e-3 * min(na, nb))
-    v = np.log([max(na - z0, 1e-3 * na), max(nb - z0, 1e-3 * nb), z0])
-    best, step = likelihood(v), 0.2
-    while step > 1e-3:
-        better = False
-        for i in range(3):
-            for s in (step, -step):
-                w = v.copy()
-                w[i] = max(w[i] + s, -30.0)
-                value = likelihood(w)
-                if value > best:
-                    v, best, better = w, value, True
-        if not better:
-            step /= 2
-    x, y, z = m * np.exp(v)
-    union = x + y + z
-    j = z / union
-    return float(union), float(z), float(j), math.sqrt(max(j * (1 - j), 1 / m) / m) * (1 + relative_error(m, base))
+    # Shares of 0 and 1 exactly make single outcomes impossible or 0 * inf: stay a little inside.
+    low, high = 1e-6, 1 - 1e-6
+    ratio = (math.sqrt(5) - 1) / 2
+    c, d = high - ratio * (high - low), low + ratio * (high - low)
+    fc, fd = likelihood(c), likelihood(d)
+    for _ in range(26):
+        if fc > fd:
+            high, d, fd = d, c, fc
+            c = high - ratio * (high - low)
+            fc = likelihood(c)
+        else:
+            low, c, fc = c, d, fd
+            d = low + ratio * (high - low)
+            fd = likelihood(d)
+    share = (low + high) / 2
+    z = share * min(na, nb)
+    union = na + nb - z
+    h = 1e-3
+    at = min(max(share, 2 * h), 1 - 2 * h)
+    curvature = -(likelihood(at + h) - 2 * likelihood(at) + likelihood(at - h)) / h**2
+    # d(jaccard)/d(share) = min (na + nb) / union^2; the sampling error of the counts adds the base's own term.
+    slope = min(na, nb) * (na + nb) / union**2
+    error = slope / math.sqrt(max(curvature, 1.0)) + z / union * relative_error(m, base)
+    return float(m * union), float(m * z), float(z / union), float(error)
 
 
 def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Text per block, in bytes as Spark estimates the input; bounds what one task holds.
-BLOCK_BYTES = 4 << 20
+#: Stored input per block, in bytes; bounds what one task holds.
+BLOCK_BYTES = 2 << 20
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -78,7 +78,7 @@ def _join_positions(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc": docs.column("doc"), "ids": out})
 
 
-def _input_bytes(rows: DataFrame) -> int:
+def _input_bytes(rows: DataFrame, text_col: str) -> int:
     """Size of the input by the planner's estimate from file sizes; where it has none, the texts are measured."""
     try:
         size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -86,7 +86,7 @@ def _input_bytes(rows: DataFrame) -> int:
         size = 1 << 62
     if size < 1 << 50:
         return size
-    return rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return rows.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -98,7 +98,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(tuple(sorted(read_ranks(vocabulary).items())))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    size = _input_bytes(rows)
+    size = _input_bytes(documents, text_col)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
     # As many partitions as blocks, so a task's share doesn't grow; the hash of id and text spreads rows that share either.
     laid = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")

@@ -128,3 +128,16 @@ def test_streams(spark, tmp_path):
     source = spark.readStream.schema("key string, seq int, text string, last boolean").parquet(str(tmp_path / "cut"))
     rows = run(streams.joined_placeholders(source, "key", "seq", "text", "last"), "whole")
     assert [r["text"] for r in sorted(rows, key=lambda r: r["seq"])] == ["to ", "[EMAIL_1] now"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veilspark import cli
+
+    (tmp_path / "a.txt").write_text("mail a@b.com")
+    (tmp_path / "m.json").write_text('{"[EMAIL_1]": "a@b.com"}')
+    (tmp_path / "b.md").write_text("mail [EMAIL_1]")
+    assert cli.main(["scan", str(tmp_path)]) == 0 and cli.main(["anonymize", str(tmp_path)]) == 0
+    assert cli.main(["detect", str(tmp_path)]) == 0 and cli.main(["list-policies"]) == 0 and cli.main(["validate-policy", "pci_dss"]) == 0
+    assert cli.main(["deanonymize", str(tmp_path), "--pattern", "*.md", "--mapping", str(tmp_path / "m.json")]) == 0
+    out = capsys.readouterr().out
+    assert '"entities": 1' in out and "mail [EMAIL_1]" in out and "Total Entities: 1" in out and "hipaa_phi" in out and "mail a@b.com" in out

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilspark.functions import detectors, report, rewrite, strategies
 from veilspark.functions.policy import BUILT_IN, load_policy
 from veilspark.functions.resolve import resolve
+from veilspark.functions.spans import let
 from veilspark.operators import audit, cached, conversation, evaluate, limits, scan, store
 from veilspark.sources.readers import spread
 from veilspark.sources.sinks import result_json
@@ -551,6 +553,42 @@ def list_policies(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "policy string, entity_type string, placeholder string")
 
 
+# Long forms: one row per span
+
+
+@query(_VALUES + " select k as doc_id, t as entity_type, s as start, row_number() over (partition by k, t order by s) as n, lag(e, 1, 0) over (partition by k order by s) as previous_end from labelled")
+def numbered_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Running numbers and previous ends by windows over (document, type) and document."""
+    spans = _texts(spark, d, "documents").select("doc_id", F.explode(rewrite.kept_spans(F.col("text"))).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end")
+    return spans.select(
+        "doc_id", "entity_type", "start",
+        F.row_number().over(Window.partitionBy("doc_id", "entity_type").orderBy("start")).cast("bigint").alias("n"),
+        F.lag("end", 1, 0).over(Window.partitionBy("doc_id").orderBy("start")).alias("previous_end"),
+    )
+
+
+@query("with " + spans_cte("chat_requests", "request_id", "prompt") + " select a.k as request_id, a.ord as ord_a, b.ord as ord_b from spans a join spans b on a.k = b.k and a.ord < b.ord and a.s < b.e and b.s < a.e")
+def overlapping_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of overlapping spans, found inside each row's array, so nothing is shuffled."""
+    found = detectors.detect(F.col("prompt"))
+    touching = lambda all_spans: F.flatten(
+        F.transform(
+            all_spans,
+            lambda a: F.transform(
+                F.filter(all_spans, lambda b: (a["ord"] < b["ord"]) & (a["start"] < b["end"]) & (b["start"] < a["end"])),
+                lambda b: F.struct(a["ord"].alias("ord_a"), b["ord"].alias("ord_b")),
+            ),
+        )
+    )
+    return _texts(spark, d, "chat_requests").select("request_id", F.explode(let(found, touching)).alias("p")).select("request_id", "p.ord_a", "p.ord_b")
+
+
+@query("select count(*) as requests, count(distinct prompt) as keys from chat_requests where prompt is not null")
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = rewrite.cache_key(F.col("prompt"), load_policy("default_pii"), ("regex",))
+    return _read(spark, d, "chat_requests").where("prompt is not null").agg(F.count("*").alias("requests"), F.countDistinct(key).alias("keys"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

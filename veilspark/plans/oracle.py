@@ -1,7 +1,8 @@
 """SQL that computes spans, overlap resolution and rewriting without the library, for DuckDB.
 
 Letters outside ASCII are folded to underscores first (same length), because the SQL
-engine's word boundary knows ASCII only; Unicode digits and spaces are spelled out.
+engine's word boundary knows ASCII only, and full-width digits become plain ones; other Unicode digits and
+spaces are spelled out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def spans_cte(table: str, key: str, text: str, rules: tuple[Rule, ...] = BASIC_R
             f"regexp_extract_all(folded, {p}) as m, regexp_split_to_array(folded, {p}) as g from src where text is not null"
         )
     return f"""
-src as (select {key} as k, {text} as text, regexp_replace({text}, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM\\p{{Nd}}]', '_', 'g') as folded from {table} where {where}),
+src as (select {key} as k, {text} as text, regexp_replace(translate({text}, '０１２３４５６７８９', '0123456789'), '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM\\p{{Nd}}]', '_', 'g') as folded from {table} where {where}),
 found as ({' union all '.join(parts)}),
 placed as (
   select k, rule, t, c, unnest(generate_series(1, len(m))) as i, m, g from found where len(m) > 0

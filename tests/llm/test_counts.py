@@ -92,3 +92,10 @@ def test_term_counts_equal_plain_counts(spark):
 def test_terms_of_empty_tables(spark):
     df = spark.createDataFrame([], "id bigint, v string")
     assert terms.frequencies([(df, "id", ["v"])]).count() == 0
+
+
+def test_joint_of_keys(spark):
+    rows = spark.range(0, 12_000).select(F.explode(F.array(F.when(F.col("id") < 8000, "a"), F.when(F.col("id") >= 4000, "b"), F.lit(None))).alias("key"), F.col("id").cast("string").alias("u"))
+    out = sketches.joint(sketches.registers(rows, ["key"], ["u"]), [], "key", ["u"]).collect()
+    assert [(r["key_a"], r["key_b"]) for r in out] == [("a", "b")]
+    assert abs(out[0]["jaccard_est"] - 1 / 3) < 4 * out[0]["jaccard_error"] and abs(out[0]["union_est"] / 12_000 - 1) < 0.13

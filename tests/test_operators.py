@@ -67,6 +67,14 @@ def test_conversation_numbering_restores(frame):
     assert by[("c", 2)]["restored"] == "Bob Ray and c@d.com, e@f.com" and by[("d", 1)]["restored"] is None
 
 
+def test_cumulative_mapping(frame):
+    rows = [("c", 1, [("[A_1]", "x"), ("[B_1]", "y")]), ("c", 2, []), ("c", 3, [("[A_1]", "z"), ("[A_1]", "w"), ("[C_1]", "v")]), ("d", 1, None)]
+    df = frame(rows, "conv string, turn int, entries array<struct<placeholder:string,original:string>>")
+    got = {(r["conv"], r["turn"]): list(r["known"].items()) for r in conversation.cumulative_entries(df, "conv", "turn", "entries").collect()}
+    first = [("[A_1]", "x"), ("[B_1]", "y")]
+    assert got == {("c", 1): first, ("c", 2): first, ("c", 3): [("[A_1]", "w"), ("[B_1]", "y"), ("[C_1]", "v")], ("d", 1): []}
+
+
 def test_bodies(frame):
     body = '{"messages": [{"role": "user", "content": "mail a@b.com"}, {"role": "system", "content": null}]}'
     r = frame([(body,)], "b string").select(conversation.anonymize_body(F.col("b")).alias("x")).first()["x"]

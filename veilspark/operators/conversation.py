@@ -51,12 +51,22 @@ def anonymize_arguments(arguments: Column, schema: str, **options) -> Column:
 
 
 def cumulative_entries(turns: DataFrame, conversation: str, turn: str, entries: str, out: str = "known") -> DataFrame:
-    """Adds the entries known after each turn: those of all turns so far, in order; the last of equal placeholders counts.
+    """(conversation, turn, known): the mapping after each turn, in order of first appearance; the last of equal placeholders counts.
 
-    A conversation's turns are one ordered group; a turn's result grows with the turns before it, as the definition asks.
+    Each value of a placeholder holds from its turn until the placeholder's next one; turns
+    meet the values that hold. No list of a whole conversation is built: what a turn gathers is its own result.
     """
-    w = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return turns.withColumn(out, F.map_from_entries(F.transform(F.flatten(F.collect_list(entries).over(w)), lambda e: F.struct(e["placeholder"].alias("key"), e["original"].alias("value")))))
+    long = turns.select(conversation, turn, F.posexplode(entries).alias("_p", "_e"))
+    values = long.groupBy(conversation, turn, F.col("_e.placeholder").alias("_label")).agg(F.max_by("_e.original", "_p").alias("_value"), F.min("_p").alias("_first"))
+    of_label = Window.partitionBy(conversation, "_label")
+    spans = values.select(
+        F.col(conversation).alias("_c"), "_label", "_value", F.col(turn).alias("_from"), F.lead(turn).over(of_label.orderBy(turn)).alias("_to"),
+        F.min(F.struct(F.col(turn), F.col("_first"))).over(of_label).alias("_born"),
+    )
+    holds = (F.col(conversation) == F.col("_c")) & (F.col("_from") <= F.col(turn)) & (F.col("_to").isNull() | (F.col(turn) < F.col("_to")))
+    held = F.when(F.col("_label").isNotNull(), F.struct("_born", "_label", "_value"))
+    gathered = turns.select(conversation, turn).distinct().join(spans, holds, "left").groupBy(conversation, turn).agg(F.array_sort(F.collect_list(held)).alias("_k"))
+    return gathered.select(conversation, turn, F.map_from_entries(F.transform("_k", lambda x: F.struct(x["_label"].alias("key"), x["_value"].alias("value")))).alias(out))
 
 
 def anonymize_conversation(turns: DataFrame, conversation: str, turn: str, text: str, **options) -> DataFrame:

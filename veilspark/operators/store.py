@@ -42,8 +42,13 @@ def mapping_rows(anonymized: DataFrame, session_col: str, entries_col: str) -> D
 
 
 def session_mappings(sessions: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(session_id, mapping) of the sessions that have entries; equal placeholders: the last position wins."""
-    grouped = mappings.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", "placeholder", "original"))).alias("e"))
+    """(session_id, mapping) of the sessions that have entries; equal placeholders: the last position wins.
+
+    Equal placeholders are reduced before a session's entries are gathered, so a session of
+    many turns gathers no more than its distinct placeholders.
+    """
+    last = mappings.groupBy("session_id", "placeholder").agg(F.max_by("original", "position").alias("original"), F.min("position").alias("first"))
+    grouped = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("first", "placeholder", "original"))).alias("e"))
     entries = F.transform("e", lambda x: F.struct(x["placeholder"].alias("key"), x["original"].alias("value")))
     return sessions.select("session_id").join(grouped.select("session_id", F.map_from_entries(entries).alias("mapping")), "session_id")
 

@@ -441,7 +441,7 @@ _CHAT = anonymized("chat_requests", "request_id", "prompt", where="session_id is
   select session_id, count(*) as placeholders, md5(string_agg(label || '=' || v, ';' order by label)) as digest from last where r = 1 group by session_id""")
 def session_mappings(spark: SparkSession, d: str) -> DataFrame:
     """The mapping of each session, the last original of a placeholder winning."""
-    chats = _read(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id", rewrite.anonymize(F.col("prompt")).alias("a"))
+    chats = _texts(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id", rewrite.anonymize(F.col("prompt")).alias("a"))
     rows = chats.select("session_id", "request_id", F.posexplode("a.entries").alias("p", "e")).select(
         "session_id", F.struct("request_id", "p").alias("position"), "e.placeholder", F.col("e.original").alias("original")
     )
@@ -454,7 +454,7 @@ def session_mappings(spark: SparkSession, d: str) -> DataFrame:
   t as (select session_id, request_id from chat_requests where session_id is not null)
   select t.request_id, count(distinct e.label) as known from t left join e on e.session_id = t.session_id and e.request_id <= t.request_id group by t.request_id""")
 def cumulative_mapping(spark: SparkSession, d: str) -> DataFrame:
-    chats = _read(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id", F.coalesce(rewrite.anonymize(F.col("prompt"))["entries"], F.array().cast(rewrite.ENTRIES)).alias("entries"))
+    chats = _texts(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id", F.coalesce(rewrite.anonymize(F.col("prompt"))["entries"], F.array().cast(rewrite.ENTRIES)).alias("entries"))
     return conversation.cumulative_entries(chats, "session_id", "request_id", "entries").select("request_id", F.size("known").cast("bigint").alias("known"))
 
 

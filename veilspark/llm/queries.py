@@ -180,6 +180,17 @@ def _llr_sql() -> str:
     return f"round(case when n_ab * n >= n_a * n_b then {llr} else -{llr} end, 3) + 0.0"
 
 
+_GRAMS = r"""
+with grams as (
+  select src, id, array_to_string(w[k:k + 11], ' ') as g from (
+    select src, id, w, unnest(generate_series(1, len(w) - 11)) as k from (
+      select 'd' as src, doc_id as id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null
+      union all select 'i', item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') from benchmark where text is not null
+    )
+  )
+) select distinct d.id as doc_id, i.id as item_id from grams d join grams i on d.g = i.g where d.src = 'd' and i.src = 'i'"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_bound": """
@@ -189,5 +200,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_pairs": _BASKETS + f" select src, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab::double * n / (n_a::double * n_b), 6) as lift, {_llr_sql()} as llr from pairs",
         "p6_found": _TERMS + " select field_name, term, mark from f where mark is not null",
         "p6_frequencies": _TERMS + " select field_name, term, occurrences, records, mark from f",
+        "p8_found": _GRAMS,
         "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }

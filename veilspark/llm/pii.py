@@ -400,9 +400,9 @@ def fit(patterns: Iterable[tuple[str, int]]) -> dict[str, float]:
 
 
 def proposed(records: DataFrame, text_col: str) -> DataFrame:
-    """All input columns plus ``clean`` and ``spans``, written once: Python runs once per text."""
+    """The other input columns plus ``clean`` and ``spans``, written once: Python runs once per text."""
     found = records.withColumn("found", propose_spans(F.col(text_col)))
-    return written(found.select("*", "found.clean", "found.spans").drop("found"), "pii-spans")
+    return written(found.select("*", "found.clean", "found.spans").drop("found", text_col), "pii-spans")
 
 
 def learn(spans: DataFrame) -> dict[str, float]:

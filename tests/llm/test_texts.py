@@ -76,6 +76,23 @@ def test_ledger_adds_up_over_batches(spark, tmp_path):
     assert sorted((r["first_id"], r["copy_id"]) for r in found) == [(1, 3), (1, 5)]
 
 
+def test_a_reopened_ledger_goes_on(spark, tmp_path):
+    first = spark.createDataFrame([("a", 5, "Hi!", ""), ("a", 3, "hi", ""), ("a", 9, "other", ""), ("a", 2, "left alone", "")], RECORDS)
+    second = spark.createDataFrame([("a", 7, "HI", ""), ("a", 1, "Other", ""), ("b", 8, "hi", "")], RECORDS)
+    keyed = [copies.keyed_records(x, "src", "id", "text") for x in (first, second)]
+    copies.CopyLedger(spark, str(tmp_path / "l"), buckets=4).add(keyed[0])
+    stale = copies.CopyLedger(spark, str(tmp_path / "l"))
+    reopened = copies.CopyLedger(spark, str(tmp_path / "l"))
+    assert reopened.buckets == 4 and reopened.table().count() == 3
+    reopened.add(keyed[1])
+    want = [("a", 1, 2), ("a", 2, 1), ("a", 3, 3), ("b", 8, 1)]
+    for ledger in (reopened, copies.CopyLedger(spark, str(tmp_path / "l"))):
+        assert sorted((r["grp"], r["first_id"], r["n"]) for r in ledger.table().collect()) == want
+    with pytest.raises(Exception, match="exists"):
+        stale.add(keyed[1])
+    assert copies.CopyLedger(spark, str(tmp_path / "l")).table().count() == 4
+
+
 PII = {
     1: ("My name is Ann Lee, mail ann@example.com", {"PERSON", "EMAIL"}),
     2: ("Call me at 555-123-4567 after six", {"PHONE"}),

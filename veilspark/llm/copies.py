@@ -8,7 +8,8 @@ there is nothing but white space). Look-alike characters are rewritten first (se
 
 The ledger is a table of (grp, key, n, first_id) in bucket folders. A batch is counted
 per key first; only the buckets it touches are read, full-outer-joined with it, and
-written as a new version; the manifest, written last, makes the version visible.
+written as a new version; a numbered manifest, renamed into place last, makes the version
+visible. A ledger opened on a folder goes on from its newest manifest.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from .lookalike import CYRILLIC, GREEK, OTHER_SCRIPTS, default_normalizer, fingerprint
-from .storage import shared_folder, written
+from .storage import publish, shared_folder, texts_in, written
 
 REQUIRED_FIELDS = frozenset({"task", "tone", "audience", "ref"})
 _GAP = re.compile("(?:[^\\w" + chr(0x300) + "-" + chr(0x36F) + "]|_)+")  # combining accents belong to letters
@@ -129,7 +130,9 @@ class CopyLedger:
 
     ``add`` folds in one batch of (grp, id, key): rows repeated with one id inside a batch
     count once; a batch may bring keys that older batches hold. Null ids and texts are
-    left out by ``keyed_records``. An empty batch leaves the ledger as it is.
+    left out by ``keyed_records``. An empty batch leaves the ledger as it is. Opened on the
+    folder of an older ledger, it keeps that one's counts, schema and number of buckets. Of
+    two writers that start from one manifest the second fails: neither's batch is lost unseen.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16) -> None:
@@ -137,6 +140,24 @@ class CopyLedger:
         self.path = path or shared_folder(spark, f"ledger-{uuid.uuid4().hex}")
         self.versions: dict[int, str] = {}
         self.schema: T.StructType | None = None
+        self.manifest = 0
+        self._load()
+
+    def _load(self) -> None:
+        kept = texts_in(self.spark, f"{self.path}/_manifests")
+        if not kept:
+            return
+        self.manifest = max(int(name) for name in kept)
+        state = json.loads(kept[f"{self.manifest:09d}"])
+        self.buckets, self.schema = state["buckets"], T.StructType.fromJson(state["schema"])
+        self.versions = {int(b): f"{self.path}/{folder}" for b, folder in state["versions"].items()}
+
+    def _publish(self, versions: dict[int, str], schema: T.StructType) -> None:
+        """Makes the versions visible: to other ledgers of the folder, then to this one."""
+        folders = {str(b): v.rsplit("/", 1)[1] for b, v in versions.items()}
+        state = {"buckets": self.buckets, "schema": schema.jsonValue(), "versions": folders}
+        publish(self.spark, f"{self.path}/_manifests", f"{self.manifest + 1:09d}", json.dumps(state))
+        self.manifest, self.versions, self.schema = self.manifest + 1, versions, schema
 
     def _bucket(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
@@ -155,7 +176,7 @@ class CopyLedger:
             .withColumn("bucket", self._bucket())
         )
         self.schema = self.schema or fresh.schema
-        name = f"{self.path}/v{len(set(self.versions.values())):06d}-{uuid.uuid4().hex[:8]}"
+        name = f"{self.path}/v{self.manifest:06d}-{uuid.uuid4().hex[:8]}"
         if not self.versions:
             self._write(fresh, name)
         else:
@@ -164,7 +185,7 @@ class CopyLedger:
             touched = self._open(staged)
             old = self._read([r["bucket"] for r in touched.select("bucket").distinct().collect()])
             self._write(self._merge(old, touched.select("grp", "key", "n", "first_id")), name)
-        self.versions.update({r["bucket"]: name for r in self._open(name).select("bucket").distinct().collect()})
+        self._publish(self.versions | {r["bucket"]: name for r in self._open(name).select("bucket").distinct().collect()}, self.schema)
 
     def _merge(self, old: DataFrame, new: DataFrame) -> DataFrame:
         o = old.select("grp", "key", F.col("n").alias("on"), F.col("first_id").alias("of"))

@@ -23,3 +23,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(spark, f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def texts_in(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name -> text of the files that ``publish`` put into a folder; none where there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    out = {}
+    for f in fs.listStatus(path):
+        if not f.getPath().getName().startswith("."):
+            stream = fs.open(f.getPath())
+            out[f.getPath().getName()] = bytes(stream.readAllBytes()).decode()
+            stream.close()
+    return out
+
+
+def publish(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Writes a small file that readers see whole or not at all; fails if there is one of that name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    draft, final = path(folder, f".{name}-{uuid.uuid4().hex}"), path(folder, name)
+    stream = fs.create(draft)
+    stream.write(text.encode())
+    stream.close()
+    renames = spark._sc._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(draft), fs.makeQualified(final), renames)

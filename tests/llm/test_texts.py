@@ -64,6 +64,23 @@ def test_copy_keys(a, b, same):
     assert (copies.copy_key(a) == copies.copy_key(b)) is same
 
 
+@pytest.mark.parametrize(
+    "a,b,same",
+    [
+        ("かき", "がき", False),
+        ("はは", "ぱぱ", False),
+        ("か\u3099き。", "が き", True),
+        ("दिन", "दीन", False),
+        ("มี", "มู", False),
+        ("كَتَبَ", "كُتِبَ", False),
+        ("காலை!", "காலை", True),
+        ("hi \u2764\ufe0f", "hi \u2764", True),
+    ],
+)
+def test_marks_of_all_scripts_count(a, b, same):
+    assert (copies.copy_key(a) == copies.copy_key(b)) is same
+
+
 def test_ledger_adds_up_over_batches(spark, tmp_path):
     first = spark.createDataFrame([("a", 5, "Hi!", ""), ("a", 3, "hi", ""), ("a", 3, "hi", ""), ("a", 9, "other", "")], RECORDS)
     second = spark.createDataFrame([("a", 1, "HI", ""), ("b", 7, "hi", ""), ("a", 8, None, ""), ("a", 4, "", "")], RECORDS)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 import uuid
 
@@ -29,7 +30,23 @@ from .lookalike import CYRILLIC, GREEK, OTHER_SCRIPTS, default_normalizer, finge
 from .storage import publish, shared_folder, texts_in, written
 
 REQUIRED_FIELDS = frozenset({"task", "tone", "audience", "ref"})
-_GAP = re.compile("(?:[^\\w" + chr(0x300) + "-" + chr(0x36F) + "]|_)+")  # combining accents belong to letters
+
+
+def _marks() -> str:
+    """The combining marks of all scripts (accents, voicing marks, vowel signs), which belong to letters, as ranges of a
+    character class; variation selectors, which only choose a symbol's look, are left out."""
+    selectors = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x1810)}
+    out: list[list[int]] = []
+    for c in range(0x300, sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) in ("Mn", "Mc") and c not in selectors:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_GAP, _ASCII_GAP = re.compile(f"(?:[^\\w{_marks()}]|_)+"), re.compile(r"[\W_]+")
 _SEPARATORS = (re.compile(r"[\r\n]+"), re.compile(r"\|"), re.compile(r";"), re.compile(r"[\r\n|;]+"))
 _FIELD = re.compile(r"\s*(?:[-*•>]\s*)?[\"'“”]?\s*([^\W\d_][\w .-]{0,40}?)\s*[\"'“”]?\s*[:=]\s*(.*)", re.S)
 _GREEK_ONLY = frozenset("γδθλξπσφψω")
@@ -66,7 +83,7 @@ def _plain_key(text: str) -> str:
             return ""
         return "".join(m.group().split()) or " "
 
-    return _GAP.sub(gap, folded)
+    return (_ASCII_GAP if folded.isascii() else _GAP).sub(gap, folded)
 
 
 def _fields(text: str) -> list[tuple[str, str]] | None:

@@ -134,6 +134,28 @@ def test_personal_data(spark):
     assert pii.found_types(df.limit(0), ["id"], "text").count() == 0
 
 
+WIDE = {
+    1: ("My driving licence is MORGA657054SM9IJ.", {"ID_NUMBER"}),
+    2: ("Passport no. 12AB34567", {"ID_NUMBER"}),
+    3: ("Pasaporte: AAA123456, gracias", {"ID_NUMBER"}),
+    4: ("My national ID is 123456789012, thanks", {"ID_NUMBER"}),
+    5: ("My passport expires 2031-03-04.", set()),
+    6: ("Order MORGA657054SM9IJ is late.", set()),
+    7: ("My name is Anna.", {"PERSON"}),
+    8: ("Ich heiße Wexley und brauche Hilfe", {"PERSON"}),
+    9: ("My name is not important", set()),
+}
+
+
+def test_any_shape_behind_a_cue_is_proposed(spark):
+    filler = [(100 + i, f"My name is {n} {f}. My passport number is X{1234567 + i}. Order no. {w[0]}{7654321 + i} of {w} Release.") for i, (n, f, w) in enumerate((n, f, w) for n in ("Theo", "Greta", "Abel") for f in ("Norberg", "Varley", "Ostwick") for w in ("Python", "Linux", "Baking"))]
+    df = spark.createDataFrame([*((k, v[0]) for k, v in WIDE.items()), *filler], "id bigint, text string")
+    rows = pii.found_types(df, ["id"], "text").collect()
+    assert {i: {r["pii_type"] for r in rows if r["id"] == i} for i in WIDE} == {i: want for i, (_, want) in WIDE.items()}
+    loose, sure = (sum(pii.candidates(t)[0][3]) for t in ("This is about Kubernetes.", "My name is Kubernetes."))
+    assert loose < sure
+
+
 def test_reliability_estimates_recover_good_labelers():
     import numpy as np
 

@@ -38,9 +38,10 @@ PHONE_CUES = r"call(?: me)?|tel(?:ephone)?|t[ée]l(?:[ée]fono|[ée]phone)?|phon
 ID_CUES = r"ssn|soc|insurance|social(?: security)?(?: number| no\.?)?|soc\.? sec\.?(?: no\.?)?|nino|ni (?:number|no)|national insurance(?: number| no\.?)?|passport(?: no\.?| number)?|travel document|driving licen[cs]e|driver'?s?'? licen[cs]e|dl (?:number|no)|national id|id card|tax (?:id|number)|tin|steuer-?id|steuernummer|reisepass|personalausweis|ausweis|f[üu]hrerschein|dni|nie|nif|pasaporte|permiso de conducir|s[ée]curit[ée] sociale|s[ée]curit[ée]|sociale|passeport|permis de conduire|carte d'identit[ée]"
 OTHER_CUES = r"card|iban|account|order(?: no\.?)?|ticket|invoice|rechnung|factura|facture|commande|pro[jy]e[ck]to?|projet|reference|ref|case|dossier|vorgang|expediente|part|version|release|flight|room|port|model|born|date of birth|birthday|gateway|requests|host|device|adapter|budget|between|index|serial|sku|tracking|id="
 PERSON_CUES = r"contact person|my name is|name is|i spoke with|spoke with|loop in|our tenant|this is about|ask for|sign the letter as|thanks|regards|sincerely|belongs to|ward notes say that|customer|attn|dear|ich hei[sß]+e|mein name ist|l[äa]uft auf|informieren sie|el titular es|titular|me llamo|mi nombre es|avise por favor a|au nom de|pr[ée]venir|je m'appelle|mon nom est"
-PERSON_AFTER = r"will sign for us|who called twice|moved out|slept well|from billing|at the desk|on tuesday|im vertrieb|en contabilidad"
+PERSON_AFTER = r"will sign for us|from billing|at the desk|im vertrieb|en contabilidad"
 EMAIL_CUES = r"e-?mail|mail|reply to|write back to|cc|forward the answer to|reach me under|login|user|adresse|correo|courriel|antwort bitte an|r[ée]pondez [àa]|responda a|arrived at|mailto"
 ADDRESS_CUES = r"live at|ship (?:it )?to|moved to|billing address|address|courier could not find|pick up from|meter at|deliver to|livrez au|j'habite|vivo en|env[íi]en el paquete a|wohne|liefern sie|lieferung an|ship to|paket"
+SELF_CUES = r"my name is|name is|ich hei[sß]+e|mein name ist|me llamo|mi nombre es|je m'appelle|mon nom est"
 TITLES = r"mr|mrs|ms|miss|dr|prof|sir|madam|herr|frau|monsieur|madame|mme|se[ñn]ora?|sra?"
 STREET_TYPES = r"street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|close|blvd|boulevard|way|terrace|row|crescent|square|place|pl|hill|gardens|walk|parade|mews"
 CURRENCY = r"eur|usd|gbp|chf|euros?|dollars?|€|\$|£|percent|%|volts?|seconds?|hours?|m²"
@@ -58,7 +59,7 @@ FAMILY_ENDINGS = ("son", "sen", "ström", "strom", "berg", "ford", "ley", "by",
 NO_NAME = frozenset(
     """a an and the of for to in on at by with from about our your my his her their its this that these those is are was were be will
     who which what when where why how please whether not no yes new old single sign audit trail plan includes spring autumn release
-    data protection officer blue harbor router golden harvest festival monday morning tuesday digest happy year whole team ticket case
+    data protection officer monday morning tuesday digest happy year whole team ticket case
     project reference order part room flight gate model pro volts port version compare option table summarise summarize explain
     translate rewrite convert check sort list risks rank draft write give sie bitte den der die das ein eine im und fassen übersetzen
     prüfen lieferung vertrag vorgang projekt telefon antwort meine mein steuer la le les el los las de du des un une en por favor mi tu
@@ -87,6 +88,7 @@ _CUES = re.compile(
     rf"(?<!\w)(?:(?P<phone>{_spaced(PHONE_CUES)})|(?P<id>{_spaced(ID_CUES)})|(?P<other>{_spaced(OTHER_CUES)}|{_in_consistent_form(FOREIGN_REFERENCES)}))(?!\w)", re.I
 )
 _PERSON_CUE = re.compile(rf"(?<!\w)(?:{_spaced(PERSON_CUES)})(?!\w)[\"']?\s*[:=,]?\s*[\"']?", re.I)
+_SELF_CUE = re.compile(rf"(?:{_spaced(SELF_CUES)})(?!\w)", re.I)
 _PERSON_AFTER = re.compile(rf"\s*,?\s*(?:{_spaced(PERSON_AFTER)})", re.I)
 _EMAIL_CUE = re.compile(rf"(?<!\w)(?:{_spaced(EMAIL_CUES)})(?!\w)[\"']?\s*\w*\s*[:=<]?[\"'<]?\s*$", re.I)
 _ADDRESS_CUE = re.compile(rf"(?<!\w)(?:{_spaced(ADDRESS_CUES)})(?!\w)[\"']?\s*[:=]?\s*[\"']?(?:(?:flat|apt|unit|suite)\s+\w+,\s*)?$", re.I)
@@ -112,9 +114,13 @@ _STREET = re.compile(
     r"|(?<!\w)(?:(?:am|an der|auf der|zum|zur|im)\s+)?[^\W\d_][\w.'’-]*(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ufer|damm|graben|steig)\s+\d{1,4}\s?[a-z]?(?!\w)",
     re.I,
 )
+_BEHIND_ID = re.compile(r"(?P<gap>[\s\"':=#(,.-]*(?:[^\W\d_]+[\s\"':=#(,.-]+){0,2}?)(?P<id>(?=[^\W_]*\d|[^\W\d_]+[./-]\d)[^\W_]+(?:[ ./-][^\W_]*\d[^\W_]*)*)(?![\w@])")
+_LINK = re.compile(r"(?:\W|no|nr|num|number|nummer|n[uú]mero|num[ée]ro|is|was|ist|lautet|es|est|card|licen[cs]e)*", re.I)
 _WORD = r"[^\W\d_](?:[\w'’-]*\w)?"
 _TITLE = rf"(?:(?:{TITLES})\.?\s+)"
 _NAME_AT = re.compile(rf"(?P<title>{_TITLE})?(?:(?P<last>{_WORD}),\s+(?P<first>{_WORD})|(?P<a>{_WORD})(?P<mid>(?:\s+[^\W\d_]\.)?)\s+(?P<b>{_WORD}))(?!\w)", re.I)
+_CUED_WORD = re.compile(rf"(?P<word>{_WORD})(?P<next>\s+{_WORD})?(?![\w@])")
+_TITLE_WORD = re.compile(TITLES, re.I)
 _TITLED = re.compile(rf"(?<!\w){_TITLE}(?P<name>{_WORD}(?:\s+{_WORD})?)", re.I)
 _CAPITALS = re.compile(r"(?<![\w@.])(?:[A-ZÀ-ÞĀ-Ž][\w'’-]+)(?:\s+[A-ZÀ-Þ]\.)?\s+(?:[A-ZÀ-ÞĀ-Ž][\w'’-]+)")
 _DATE = re.compile(r"\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{4}")
@@ -160,6 +166,12 @@ class _Cues:
         self.ends = [e for e, _ in found]
         self.kinds = [k for _, k in found]
 
+    def of(self, kind: str) -> list[int]:
+        """Where the cues of a kind end."""
+        if self.ends is None:
+            self._scan()
+        return [e for e, k in zip(self.ends, self.kinds) if k == kind]
+
     def before(self, start: int, reach: int = 28) -> str | None:
         if self.ends is None:
             self._scan()
@@ -229,6 +241,25 @@ def _coded(text: str, cues: _Cues) -> Iterator[Candidate]:
         yield _id_candidate(text, m.start(), m.end(), span, cues.before(m.start()), digits, 0)
 
 
+def _behind_id_cues(text: str, cues: _Cues, taken: list[Candidate]) -> Iterator[Candidate]:
+    """Whatever holds digits behind an ID cue, of any shape, where no ID is proposed yet; at most two words lie between."""
+    for after in cues.of("id"):
+        m = _BEHIND_ID.match(text, after)
+        if not m or cues.before(m.start("id")) != "id":
+            continue
+        start, end, span = m.start("id"), m.end("id"), m.group("id")
+        digits = sum(c.isdecimal() for c in span)
+        if digits < 2 or sum(c.isalnum() for c in span) < 5 or any(t == "ID_NUMBER" and s < end and start < e for t, s, e, _, _ in taken):
+            continue
+        linked = bool(_LINK.fullmatch(m.group("gap")))
+        if not linked and _DATE.fullmatch(span):
+            continue
+        odd = bool(_DATE.fullmatch(span) or _DOTTED.fullmatch(span) or _CURRENCY_NEXT.match(text, end))
+        kind, start, end, votes, shape = _id_candidate(text, start, end, span, "id", digits, int(odd))
+        # Other words in between leave open whether the cue means this number.
+        yield kind, start, end, votes if linked else (*votes[:3], 0), shape
+
+
 def _addresses(text: str) -> Iterator[Candidate]:
     for m in _STREET.finditer(text):
         words = re.findall(r"[^\W\d_]+", m.group().lower())
@@ -243,7 +274,8 @@ def _addresses(text: str) -> Iterator[Candidate]:
         yield "ADDRESS", m.start(), m.end(), votes, (int(bool(inner)), int(len(words) <= 5))
 
 
-def _person(text: str, start: int, end: int, words: list[str], cue: int, title: int) -> Candidate:
+def _person(text: str, start: int, end: int, words: list[str], cue: int, title: int, sure: bool = True) -> Candidate:
+    """``sure``: the cue or title leaves no doubt that a name follows, unless a word is none."""
     no = [w.lower() in NO_NAME for w in words]
     capital = all(w[:1].isupper() for w in words)
     votes = (
@@ -252,7 +284,7 @@ def _person(text: str, start: int, end: int, words: list[str], cue: int, title:
         1 if any(map(_given, words)) else 0,
         1 if any(_family(w) for w, x in zip(words, no) if not x) else 0,
         title,
-        -1 if any(no) else 1 if cue or title else 0,
+        -1 if any(no) else 1 if (cue or title) and sure else 0,
         -1 if re.match(r"\s*\d", text[end : end + 4]) or text[max(0, start - 1) : start] in ("@", "/", "#") else 0,
     )
     return "PERSON", start, end, votes, (int(capital), int(len(words) > 1), int(any(no)))
@@ -262,8 +294,8 @@ def _persons(text: str) -> Iterator[Candidate]:
     seen: dict[int, int] = {}
     out: list[Candidate] = []
 
-    def put(start: int, end: int, words: list[str], cue: int, title: int) -> None:
-        c = _person(text, start, end, words, cue, title)
+    def put(start: int, end: int, words: list[str], cue: int, title: int, sure: bool = True) -> None:
+        c = _person(text, start, end, words, cue, title, sure)
         if start in seen:  # the same place proposed twice: the one with more votes stays
             if sum(c[3]) > sum(out[seen[start]][3]):
                 out[seen[start]] = c
@@ -279,6 +311,12 @@ def _persons(text: str) -> Iterator[Candidate]:
         cue = int(bool(_PERSON_CUE.search(text[max(0, m.start() - 40) : m.start()])))
         put(m.start("name"), end, words, cue, 1)
     for c in _PERSON_CUE.finditer(text):
+        # One capitalised word, where the next one can't belong to the name.
+        one = _CUED_WORD.match(text, c.end())
+        if one and one["word"][0].isupper() and not _TITLE_WORD.fullmatch(one["word"]):
+            following = (one["next"] or "").strip()
+            if not following or not following[0].isupper() or following.lower() in NO_NAME:
+                put(one.start("word"), one.end("word"), [one["word"]], 1, 0, bool(_SELF_CUE.match(c.group())))
         m = _NAME_AT.match(text, c.end())
         if not m:
             continue
@@ -309,7 +347,8 @@ def candidates(text: str) -> list[Candidate]:
     out = list(mails)
     if _DIGIT.search(text):
         cues = _Cues(text)
-        out += [*_numbers(text, cues), *_coded(text, cues), *_addresses(text)]
+        numbers = [*_numbers(text, cues), *_coded(text, cues)]
+        out += [*numbers, *_behind_id_cues(text, cues, numbers), *_addresses(text)]
     inside = [(m[1], m[2]) for m in mails]
     out += [p for p in _persons(text) if not any(s < p[2] and p[1] < e for s, e in inside)]
     return out

@@ -99,3 +99,30 @@ def test_joint_of_keys(spark):
     out = sketches.joint(sketches.registers(rows, ["key"], ["u"]), [], "key", ["u"]).collect()
     assert [(r["key_a"], r["key_b"]) for r in out] == [("a", "b")]
     assert abs(out[0]["jaccard_est"] - 1 / 3) < 4 * out[0]["jaccard_error"] and abs(out[0]["union_est"] / 12_000 - 1) < 0.13
+
+
+def test_union_and_intersection_keep_their_stated_errors():
+    m, base, rng = 1024, 1.2, np.random.default_rng(8)
+
+    def sketch(n):
+        k = np.zeros(m, int)
+        v = np.maximum(np.floor(1 - np.log(rng.random(n)) / math.log(base)), 1).astype(int)
+        np.maximum.at(k, rng.integers(0, m, n), v)
+        return k
+
+    for na, nb, nc in [(6000, 3000, 4000), (8000, 8000, 20), (5000, 200, 0), (50_000, 20_000, 10_000)] * 3:
+        a, b, c = sketch(na), sketch(nb), sketch(nc)
+        union, both, _, _, union_error, both_error = sketches.joint_estimates(np.maximum(a, c), np.maximum(b, c), m, base)
+        assert 0 < union_error < union / 3 and abs(union - (na + nb + nc)) < 3.5 * union_error
+        assert 0 < both_error and abs(both - nc) < 3.5 * both_error
+
+
+def test_joint_of_policies_and_days(spark, tmp_path):
+    from veilspark.llm import queries
+
+    rows = [(f"2026-01-0{1 + i % 3} 10:00:00", "EMAIL", f"p{i % 2}", f"u{i % 40}", f"s{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "detected_at string, entity_type string, policy string, user_id string, session_id string")
+    df.withColumn("detected_at", F.to_timestamp("detected_at")).write.parquet(str(tmp_path / "pii_detections.parquet"))
+    for name, key, pairs in (("p3_overlap_policies", "policy", 1), ("p3_overlap_days", "day", 3)):
+        out = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(out) == 2 * pairs and all(r[f"{key}_a"] < r[f"{key}_b"] and r["union_error"] > 0 for r in out)

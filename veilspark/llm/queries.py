@@ -53,10 +53,24 @@ def p3_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.grouped_counts(_p3_rows(spark, sf_dir), _P3_DIMENSIONS, ["user_id", "session_id"])
 
 
+def _p3_joint(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    parts = sketches.registers(_p3_rows(spark, sf_dir), [key], ["user_id", "session_id"])
+    return sketches.joint(parts, [], key, ["user_id", "session_id"])
+
+
 def p3_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, intersection and Jaccard of the users (and sessions) of each two entity types."""
-    parts = sketches.registers(_p3_rows(spark, sf_dir), ["entity_type"], ["user_id", "session_id"])
-    return sketches.joint(parts, [], "entity_type", ["user_id", "session_id"])
+    """Union, intersection and Jaccard, with errors, of the users (and sessions) of each two entity types."""
+    return _p3_joint(spark, sf_dir, "entity_type")
+
+
+def p3_overlap_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each two policies."""
+    return _p3_joint(spark, sf_dir, "policy")
+
+
+def p3_overlap_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each two days."""
+    return _p3_joint(spark, sf_dir, "day")
 
 
 def p3_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_redacted, p2_found, p2_normalized, p3_distinct, p3_overlap, p3_bound, p4_found, p4_collapsed,
+            p1_found, p1_redacted, p2_found, p2_normalized, p3_distinct, p3_overlap, p3_overlap_policies, p3_overlap_days, p3_bound, p4_found, p4_collapsed,
             p5_found, p5_pairs, p6_found, p6_frequencies, p7_ids, p7_decoded, p8_found, p9_found,
         )
     }

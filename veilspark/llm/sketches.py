@@ -136,16 +136,24 @@ def counts(parts: DataFrame, groups: Sequence[str], identifiers: Sequence[str],
 
 
 def joint_estimate(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float) -> tuple[float, float, float, float]:
-    """(union, intersection, jaccard, jaccard standard error) of two sets from their aligned registers, by maximum likelihood.
+    """(union, intersection, jaccard, jaccard standard error): what ``joint_estimates`` gives without the other errors."""
+    union, both, jaccard, error, _, _ = joint_estimates(only_a, only_b, m, base)
+    return union, both, jaccard, error
+
+
+def joint_estimates(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float) -> tuple[float, float, float, float, float, float]:
+    """(union, intersection, jaccard, jaccard error, union error, intersection error) of two sets from their aligned registers, by maximum likelihood.
 
     With rates x, y, z for "only a", "only b", "both", the pair of register values has
     P(A <= k, B <= l) = exp(-x b^-k - y b^-l - z b^-min(k, l)). x + z and y + z are fixed at
     the maximum-likelihood counts of the two sets; z maximises the likelihood of the
-    observed pairs (golden-section search). The error is that of the likelihood's curvature.
+    observed pairs (golden-section search). All errors are one standard error: the likelihood's
+    curvature gives that of z, to which the sampling error of the counts is added. Those of
+    union and intersection are in identifiers, as an intersection may be 0.
     """
     na, nb = (_cardinality(dict(zip(*np.unique(s[s > 0], return_counts=True))), m, base) / m for s in (only_a, only_b))
     if na == 0 or nb == 0:
-        return m * (na + nb), 0.0, 0.0, 0.0
+        return m * (na + nb), 0.0, 0.0, 0.0, m * (na + nb) * relative_error(m, base), 0.0
     pairs, n = np.unique(np.stack([only_a, only_b]), axis=1, return_counts=True)
     tail = lambda k: np.where(k < 0, np.inf, base ** -np.maximum(k, 0.0))
     k, l = pairs.astype(float)
@@ -179,12 +187,18 @@ def joint_estimate(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float)
     curvature = -(likelihood(at + h) - 2 * likelihood(at) + likelihood(at - h)) / h**2
     # d(jaccard)/d(share) = min (na + nb) / union^2; the sampling error of the counts adds the base's own term.
     slope = min(na, nb) * (na + nb) / union**2
-    error = slope / math.sqrt(max(curvature, 1.0)) + z / union * relative_error(m, base)
-    return float(m * union), float(m * z), float(z / union), float(error)
+    of_share = 1 / math.sqrt(max(curvature, 1.0))
+    of_count = relative_error(m, base)
+    error = slope * of_share + z / union * of_count
+    of_z = m * min(na, nb) * of_share
+    return float(m * union), float(m * z), float(z / union), float(error), float(of_z + m * union * of_count), float(of_z + m * z * of_count)
+
+
+_JOINT = ("union_est", "intersection_est", "jaccard_est", "jaccard_error", "union_error", "intersection_error")
 
 
 def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
-    """(groups, what, key_a, key_b, union_est, intersection_est, jaccard_est, jaccard_error) for all pairs of keys in a group.
+    """(groups, what, key_a, key_b, union_est, intersection_est, jaccard_est, jaccard_error, union_error, intersection_error) for all pairs of keys in a group.
 
     For keys of a small dictionary, such as entity types: the sketches of one (group, what)
     are brought together, packed, at most 3 m bytes each; null keys don't form a set. Takes m up to 65,536 and bases whose
@@ -193,8 +207,8 @@ def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequen
     # Three bytes a register: two for its number, one for its value.
     packed = F.lpad(F.hex((F.col("slot") % m * 256 + F.col("k")).cast("bigint")), 6, "0")
     sketch = parts.where(F.col(key).isNotNull()).groupBy(*groups, _what(identifiers, m), key).agg(F.unhex(F.array_join(F.collect_list(packed), "")).alias("s"))
-    fields = [*(parts.schema[g] for g in groups), T.StructField("what", T.StringType()), T.StructField(f"{key}_a", T.StringType()), T.StructField(f"{key}_b", T.StringType())]
-    schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in ("union_est", "intersection_est", "jaccard_est", "jaccard_error"))])
+    fields = [*(parts.schema[g] for g in groups), T.StructField("what", T.StringType()), *(T.StructField(f"{key}_{x}", parts.schema[key].dataType) for x in "ab")]
+    schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in _JOINT)])
     a = sketch.withColumnsRenamed({key: f"{key}_a", "s": "sa"})
     b = sketch.withColumnsRenamed({key: f"{key}_b", "s": "sb"})
     pairs = a.join(b, [*groups, "what"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
@@ -207,8 +221,8 @@ def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequen
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [joint_estimate(dense(x), dense(y), m, base) for x, y in zip(pdf["sa"], pdf["sb"])]
-            yield pd.concat([pdf[[f.name for f in fields]].reset_index(drop=True), pd.DataFrame(rows, columns=["union_est", "intersection_est", "jaccard_est", "jaccard_error"])], axis=1)
+            rows = [joint_estimates(dense(x), dense(y), m, base) for x, y in zip(pdf["sa"], pdf["sb"])]
+            yield pd.concat([pdf[[f.name for f in fields]].reset_index(drop=True), pd.DataFrame(rows, columns=list(_JOINT))], axis=1)
 
     # Few rows, much work on each: spread them over all tasks.
     return pairs.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, schema)

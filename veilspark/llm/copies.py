@@ -3,8 +3,10 @@
 A text's canonical key keeps its letters and digits in order, whatever the case, white
 space, punctuation and symbols; only between two digits the marks count (or one space, if
 there is nothing but white space). Look-alike characters are rewritten first (see
-``lookalike``); accents count. A prompt made of named fields only is keyed by its sorted
-(name, value) pairs, so the order and layout of the fields don't matter.
+``lookalike``); accents count. A text made of named fields only (a JSON object, or ``name:
+value`` throughout) is keyed by its sorted (name, value) pairs, so the order and layout of
+the fields don't matter; which names it must hold at least is a parameter. Plain ASCII
+text is keyed by JVM expressions; only the rest goes through Python.
 
 The ledger is a table of (grp, key, n, first_id) in bucket folders. A batch is counted
 per key first; only the buckets it touches are read, full-outer-joined with it, and
@@ -16,20 +18,22 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 import uuid
+from collections.abc import Collection
+from functools import reduce
+from itertools import chain
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
-from .lookalike import CYRILLIC, GREEK, OTHER_SCRIPTS, default_normalizer, fingerprint
+from veilspark.functions.spans import let
+
+from .lookalike import CYRILLIC, GREEK, OTHER_SCRIPTS, SCANNED, default_normalizer, fingerprint
 from .storage import publish, shared_folder, texts_in, written
 
-REQUIRED_FIELDS = frozenset({"task", "tone", "audience", "ref"})
 
 
 def _marks() -> str:
@@ -37,7 +41,7 @@ def _marks() -> str:
     character class; variation selectors, which only choose a symbol's look, are left out."""
     selectors = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x1810)}
     out: list[list[int]] = []
-    for c in range(0x300, sys.maxunicode + 1):
+    for c in chain(*SCANNED):
         if unicodedata.category(chr(c)) in ("Mn", "Mc") and c not in selectors:
             if out and out[-1][1] == c - 1:
                 out[-1][1] = c
@@ -46,9 +50,15 @@ def _marks() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
-_GAP, _ASCII_GAP = re.compile(f"(?:[^\\w{_marks()}]|_)+"), re.compile(r"[\W_]+")
+_GAP = re.compile(f"(?:[^\\w{_marks()}]|_)+")
+# Gaps of plain text, for Python and the JVM alike: those not between two digits go; between digits, white space goes, but white space alone stays as one space.
+_LOOSE = r"(?:^|(?<=[a-z]))[^a-z0-9]++|(?<=[0-9])[^a-z0-9]++(?![0-9])"
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+_BLANK = rf"(?<=[0-9])[{_SPACE}]++(?=[0-9])"
+_LOOSE_GAP, _BLANK_GAP, _HELD = re.compile(_LOOSE), re.compile(_BLANK), "\ue000"
+_HOLD = str.maketrans({_HELD: " ", **dict.fromkeys(_SPACE)})
 _SEPARATORS = (re.compile(r"[\r\n]+"), re.compile(r"\|"), re.compile(r";"), re.compile(r"[\r\n|;]+"))
-_FIELD = re.compile(r"\s*(?:[-*•>]\s*)?[\"'“”]?\s*([^\W\d_][\w .-]{0,40}?)\s*[\"'“”]?\s*[:=]\s*(.*)", re.S)
+_FIELD = re.compile(r"\s*(?:[-*•>]\s*)?[\"'“”]?\s*([^\W\d_][\w .-]*?)\s*[\"'“”]?\s*[:=]\s*(.*)", re.S)
 _GREEK_ONLY = frozenset("γδθλξπσφψω")
 
 
@@ -77,19 +87,22 @@ def _plain_key(text: str) -> str:
         if greek:
             folded = folded.translate(_GREEK_NU)
 
+    if folded.isascii():
+        return _BLANK_GAP.sub(_HELD, _LOOSE_GAP.sub("", folded)).translate(_HOLD)
+
     def gap(m: re.Match) -> str:
         a, b = m.start() - 1, m.end()
         if a < 0 or b >= len(folded) or not (folded[a].isdecimal() and folded[b].isdecimal()):
             return ""
         return "".join(m.group().split()) or " "
 
-    return (_ASCII_GAP if folded.isascii() else _GAP).sub(gap, folded)
+    return _GAP.sub(gap, folded)
 
 
-def _fields(text: str) -> list[tuple[str, str]] | None:
-    """The (name, value) pairs of a prompt made of named fields only, else None."""
+def _fields(text: str, required: Collection[str]) -> list[tuple[str, str]] | None:
+    """The (name, value) pairs of a text made of at least two named fields only, the required ones among them, else None."""
     low = text.casefold()
-    if not all(name in low for name in REQUIRED_FIELDS):
+    if not (":" in text or "=" in text) or not all(name in low for name in required):
         return None
     body = text.strip()
     inner = re.sub(r"^[\s\"'“”*>-]*(?=\{)|(?<=\})[\s\"'“”.!;,]*$", "", body)
@@ -110,33 +123,48 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
                 break
             pairs.append((m.group(1), m.group(2)))
         else:
-            if REQUIRED_FIELDS <= {_plain_key(k) for k, _ in pairs}:
+            if len(pairs) > 1 and {*required} <= {_plain_key(k) for k, _ in pairs}:
                 return pairs
     return None
 
 
-def copy_key(text: str) -> str:
-    """The string that is equal for two texts exactly if they are copies of each other; blank texts give ''."""
+def copy_key(text: str, required: Collection[str] = ()) -> str:
+    """The string that is equal for two texts exactly if they are copies of each other; blank texts give a lone separator."""
     look = default_normalizer().rewrite(text)
-    pairs = _fields(look)
-    if pairs and REQUIRED_FIELDS <= {_plain_key(k) for k, _ in pairs}:
+    pairs = _fields(look, required)
+    if pairs and {*required} <= {_plain_key(k) for k, _ in pairs}:
         return "\x1e" + "\x1e".join(sorted({f"{_plain_key(k)}\x1f{_plain_key(v)}" for k, v in pairs}))
     key = _plain_key(look)
     # A text of marks only has no letters to go by: it is a copy of the same marks.
     return key or "\x1d" + "".join(look.split())
 
 
-@pandas_udf(T.StringType())
-def _copy_keys(texts: pd.Series) -> pd.Series:
-    return texts.map(copy_key, na_action="ignore")
+def _key_column(text: Column, required: Collection[str]) -> Column:
+    """The canonical key: ASCII text that can't be made of fields in the JVM, the rest by an Arrow UDF."""
+    needed = frozenset(required)
+
+    @F.arrow_udf(T.StringType())
+    def in_python(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else copy_key(t, needed) for t in texts.to_pylist()], pa.string())
+
+    # Declared nondeterministic so that the planner doesn't run it twice, below the filter on the key and above it.
+    in_python = in_python.asNondeterministic()
+    low = F.lower(text)
+    plain = text.rlike(r"\A[\x00-\x7f]*\z") & ~(text.rlike("[:=]") & reduce(lambda a, b: a & b, [low.contains(n) for n in sorted(needed)], F.lit(True)))
+    key = F.translate(F.regexp_replace(F.regexp_replace(low, _LOOSE, ""), _BLANK, _HELD), _HELD + _SPACE, " ")
+    made = let(key, lambda k: F.when(k != "", k).otherwise(F.concat(F.lit("\x1d"), F.translate(text, _SPACE, ""))))
+    return F.when(plain, made).otherwise(in_python(F.when(~plain, text)))
 
 
-def keyed_records(records: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
-    """(grp, id, key) of every record with a non-blank text; key is 128 bits of the canonical key."""
+def keyed_records(records: DataFrame, group_col: str, id_col: str, text_col: str, required: Collection[str] = ()) -> DataFrame:
+    """(grp, id, key) of every record with a non-blank text; key is 128 bits of the canonical key.
+
+    ``required`` names the fields a text of named fields holds at least; without it, any two or more make one.
+    """
     return (
         records.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where("t is not null and id is not null")
-        .withColumn("k", _copy_keys("t"))
+        .withColumn("k", _key_column(F.col("t"), required))
         .where(F.col("k") != "\x1d")
         .select("grp", "id", fingerprint(F.col("k")).alias("key"))
     )
@@ -148,12 +176,12 @@ class CopyLedger:
     ``add`` folds in one batch of (grp, id, key): rows repeated with one id inside a batch
     count once; a batch may bring keys that older batches hold. Null ids and texts are
     left out by ``keyed_records``. An empty batch leaves the ledger as it is. Opened on the
-    folder of an older ledger, it keeps that one's counts, schema and number of buckets. Of
-    two writers that start from one manifest the second fails: neither's batch is lost unseen.
+    folder of an older ledger, it keeps that one's counts, schema and number of buckets; a new
+    one has as many buckets as its first batch needs at ``keys_per_bucket``. Of two writers that start from one manifest the second fails: neither's batch is lost unseen.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16) -> None:
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, keys_per_bucket: int = 2_000_000) -> None:
+        self.spark, self.buckets, self.keys_per_bucket = spark, buckets, keys_per_bucket
         self.path = path or shared_folder(spark, f"ledger-{uuid.uuid4().hex}")
         self.versions: dict[int, str] = {}
         self.schema: T.StructType | None = None
@@ -186,14 +214,14 @@ class CopyLedger:
         rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
 
     def add(self, batch: DataFrame) -> None:
-        fresh = (
-            batch.distinct()
-            .groupBy("grp", "key")
-            .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-            .withColumn("bucket", self._bucket())
-        )
-        self.schema = self.schema or fresh.schema
+        fresh = batch.distinct().groupBy("grp", "key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
         name = f"{self.path}/v{self.manifest:06d}-{uuid.uuid4().hex[:8]}"
+        if self.buckets is None:
+            # Counted once, from a written batch, so that the number of buckets follows the number of keys.
+            fresh = written(fresh, "ledger-batch")
+            self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-fresh.count() // self.keys_per_bucket))
+        fresh = fresh.withColumn("bucket", self._bucket())
+        self.schema = self.schema or fresh.schema
         if not self.versions:
             self._write(fresh, name)
         else:

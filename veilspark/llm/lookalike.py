@@ -15,18 +15,20 @@ line breaks, typographic quotes and dashes.
 
 from __future__ import annotations
 
-import sys
+import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
 from veilspark.sources.readers import spread
 
@@ -91,9 +93,13 @@ class UnionFind:
         return [sorted(c) for c in out.values() if len(c) > 1]
 
 
+#: Code points that can be looked at for rules: without ideographs, Hangul syllables, surrogates and private use, none of which qualifies.
+SCANNED = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0xE0000, 0xE1000))
+
+
 def look_alike_edges() -> Iterator[tuple[str, str]]:
     """Pairs of strings drawn alike: by rule over the character database, then by the letter table."""
-    for cp in range(0x80, sys.maxunicode + 1):
+    for cp in chain(*SCANNED):
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind == "Zs" and cp != 0x1680:
@@ -111,7 +117,7 @@ def look_alike_edges() -> Iterator[tuple[str, str]]:
 
 
 def invisible_code_points() -> list[int]:
-    return [cp for cp in range(0x80, sys.maxunicode + 1) if _is_invisible(cp)]
+    return [cp for cp in chain(*SCANNED) if _is_invisible(cp)]
 
 
 @lru_cache(maxsize=1)
@@ -162,9 +168,17 @@ class Normalizer:
         automaton.make_automaton()
         self.automaton = automaton
 
+        # Characters that are in their form already: text of these alone needs no work, accented Latin above all.
+        stays = [c for c in map(chr, (*range(0x80, 0x250), *range(0x2010, 0x205F), 0x20AC)) if self._rewritten(c) == c]
+        self.stable = re.compile("[\x00-\x7f" + "".join(map(re.escape, stays)) + "]*")
+
     def rewrite(self, text: str) -> str:
-        if self.ascii_stable and text.isascii():
-            return text
+        if self.ascii_stable:
+            if text.isascii() or self.stable.fullmatch(text):
+                return text
+        return self._rewritten(text)
+
+    def _rewritten(self, text: str) -> str:
         text = unicodedata.normalize("NFD", text)
         parts, last = [], 0
         for end, (length, representative) in self.automaton.iter_long(text):
@@ -174,6 +188,52 @@ class Normalizer:
         return unicodedata.normalize("NFC", "".join(parts))
 
 
+    def aligned(self, text: str) -> tuple[str, Places]:
+        """The consistent form with its places in the text, worked out cluster by cluster (a character with its marks)."""
+        clean = self.rewrite(text)
+        if clean == text:
+            return clean, Places([], [], [])
+        parts, at_clean, at_text, widths, c = [], [], [], [], 0
+        for m in _CLUSTER.finditer(text):
+            own = m.group()
+            new = own if own.isascii() else self.rewrite(own)
+            at_clean.append(c)
+            at_text.append(m.start())
+            widths.append(len(new) if len(new) == len(own) else -1)
+            parts.append(new)
+            c += len(new)
+        at_clean.append(c)
+        at_text.append(len(text))
+        return "".join(parts), Places(at_clean, at_text, widths)
+
+
+#: Plain runs, or one character outside ASCII (or before such marks) with the marks and invisible characters behind it.
+_CLUSTER = re.compile(r"[\x00-\x7f]+(?![\u0300-\u036f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff\u00ad])|[\s\S][\u0300-\u036f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff\u00ad]*")
+
+
+class Places:
+    """Where positions of the consistent form lie in the text it was made from."""
+
+    def __init__(self, clean: list[int], text: list[int], widths: list[int]) -> None:
+        self.clean, self.text, self.widths = clean, text, widths
+
+    def start(self, p: int) -> int:
+        """The first character of the text that has part in position p."""
+        if not self.clean:
+            return p
+        i = bisect_right(self.clean, p) - 1
+        return self.text[i] + (p - self.clean[i] if i < len(self.widths) and self.widths[i] >= 0 else 0)
+
+    def end(self, p: int) -> int:
+        """One past the last character of the text that has part in what ends at p."""
+        if not self.clean:
+            return p
+        i = bisect_left(self.clean, p) - 1
+        if i < 0:
+            return 0
+        return self.text[i] + p - self.clean[i] if self.widths[i] >= 0 else self.text[i + 1]
+
+
 @lru_cache(maxsize=4)
 def _worker_normalizer(items: tuple[tuple[str, str], ...]) -> Normalizer:
     return Normalizer(dict(items))
@@ -216,12 +276,23 @@ def canonical_text(table: dict[str, str] | None = None):
     """Column -> Column: the consistent form of a text (null gives null, empty gives empty)."""
     items = tuple(sorted((rewrite_table() if table is None else table).items()))
 
-    @pandas_udf(T.StringType())
-    def canonical(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def canonical(texts: pa.Array) -> pa.Array:
         rewrite = _worker_normalizer(items).rewrite
-        return texts.map(rewrite, na_action="ignore")
+        return pa.array([None if t is None else rewrite(t) for t in texts.to_pylist()], pa.string())
+
+    # Declared nondeterministic so that the planner doesn't run it twice, below a filter on its result and above it.
+    canonical = canonical.asNondeterministic()
+    if any(k.isascii() for k, _ in items):
+        return canonical
+    # ASCII text is in its form already and stays in the JVM.
+
+    def form(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        plain = text.rlike(r"\A[\x00-\x7f]*\z")
+        return F.when(plain, text).otherwise(canonical(F.when(~plain, text)))
 
-    return canonical
+    return form
 
 
 def fingerprint(c: Column) -> Column:
@@ -246,7 +317,7 @@ def same_look_pairs(records: DataFrame, group_col: str, id_col: str, text_col: s
         records.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where("t is not null and id is not null")
         .withColumn("c", canonical("t"))
-        .where(F.trim(F.regexp_replace("c", r"\s+", " ")) != "")
+        .where(F.col("c").rlike(r"\S"))
         .select("g", "id", fingerprint(F.col("c")).alias("look"), fingerprint(F.col("t")).alias("spelling")),
         "look-keys",
     )

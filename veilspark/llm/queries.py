@@ -82,9 +82,13 @@ def p3_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(estimate, ["entity_type", "policy"]).select("entity_type", "policy", "users", error.alias("within_bound"))
 
 
+#: What the test tables say of prompts made of named fields.
+_P4_FIELDS = ("task", "tone", "audience", "ref")
+
+
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, copies.CopyLedger]:
     records = lookalike.session_texts(spark, sf_dir)
-    keyed = copies.written(copies.keyed_records(records, "src", "rec_id", "text"), "copy-keys")
+    keyed = copies.written(copies.keyed_records(records, "src", "rec_id", "text", _P4_FIELDS), "copy-keys")
     ledger = copies.CopyLedger(spark)
     for src in ("sample_prompts", "chat_requests"):
         ledger.add(keyed.where(F.col("grp") == src))

@@ -1,10 +1,14 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer (problem 7).
 
-Documents are put into blocks by a hash; a block is a unit of bounded text. Spark splits
-the texts into words; each block contributes its distinct words, each distinct word of the
-corpus is encoded once, and the encoded words are joined back to their blocks, where the
-positions of the words, held as indices into the block's dictionary, turn into ids. The
-texts are shuffled once, in the shape of text; word occurrences are never shuffled.
+Spark splits the texts into words, once. Each task lays its documents into blocks of
+bounded text; a block keeps its distinct words, and each document its words as positions in
+that list. Both are written, so a text is never shuffled and a word occurrence is one small
+integer. The words of all blocks meet by word, each distinct word is encoded once, and the
+ids go back to their blocks, where the positions turn into ids.
+
+A word that is in very many blocks is dealt out by a salt of its blocks (and then encoded
+once per salt), so " the" is nobody's task alone. The number of blocks follows the size of
+the input, the number of partitions is bounded apart from it (``MAX_PARTITIONS``).
 
 The split runs in the JVM with the tokenizer's published pattern; the vocabulary file is
 read on the driver (its path is a parameter) and sent to the executors (under 1 MB).
@@ -16,17 +20,25 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Stored input per block, in bytes; bounds what one task holds.
-BLOCK_BYTES = 2 << 20
+#: Text of a block in bytes; bounds what is held at a time (a longer document is a block of its own).
+BLOCK_BYTES = 8 << 20
+#: Stored input for each partition of an exchange, up to so many partitions; beyond that a partition's share grows.
+PARTITION_BYTES, MAX_PARTITIONS = 4 << 20, 20_000
+#: Blocks of one word that a task is given at most.
+BLOCKS_PER_WORD = 1 << 16
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -46,34 +58,65 @@ def split_words(text) -> F.Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (block, word) of a partition; blocks are whole here, so nothing but their vocabulary is held."""
-    seen: dict[int, pa.Array] = {}
-    for batch in batches:
-        blocks, words = batch.column(0), batch.column(2)
-        for block in pc.unique(blocks).to_pylist():
-            own = pc.unique(words.filter(pc.equal(blocks, block)).flatten())
-            seen[block] = pc.unique(pa.concat_arrays([seen[block], own])) if block in seen else own
-    for block, own in seen.items():
-        yield pa.record_batch([pa.array([block] * len(own), pa.int32()), own], names=["block", "word"])
+_LAID = "block long, doc long, at array<int>, words array<string>"
+_LAID_SCHEMA = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("at", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
+
+
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-def _join_positions(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of a block's documents: word -> index in the block's dictionary -> ids, all in columns."""
+def _lay(block_bytes: int):
+    """Documents as lists of words -> their blocks: a row per document with its positions, and one row with the block's words."""
+
+    def close(block: int, docs: list[pa.Array], lists: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        doc, words = pa.concat_arrays(docs), pa.concat_arrays(lists)
+        coded = words.flatten().dictionary_encode()
+        ends = _offsets(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), coded.indices.cast(pa.int32()))
+        n = len(doc)
+        blocks = pa.array(np.full(n, block), pa.int64())
+        yield pa.record_batch([blocks, doc, at, pa.nulls(n, pa.list_(pa.string()))], schema=_LAID_SCHEMA)
+        own = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), own], schema=_LAID_SCHEMA)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        docs: list[pa.Array] = []
+        lists: list[pa.Array] = []
+        for batch in batches:
+            sizes = np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                # As many documents of the batch as the block has room for, at least one if it is empty.
+                before = int(sizes[first - 1]) if first else 0
+                last = int(np.searchsorted(sizes, before + block_bytes - size, side="right"))
+                last = max(last, first + (size == 0))
+                if last > first:
+                    docs.append(batch.column(0).slice(first, last - first))
+                    lists.append(batch.column(1).slice(first, last - first))
+                    size += int(sizes[last - 1]) - before
+                if last < batch.num_rows or size >= block_bytes:
+                    yield from close(block, docs, lists)
+                    block, size, docs, lists = block + 1, 0, [], []
+                first = last
+        if docs:
+            yield from close(block, docs, lists)
+
+    return lay
+
+
+def _place(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """Ids of a block's documents: positions in the block's list of words turn into ids, all in columns."""
     docs, words = docs.combine_chunks(), words.combine_chunks()
-    lists = pa.concat_arrays(docs.column("words").chunks) if docs.num_rows else pa.array([], pa.list_(pa.string()))
-    flat = lists.flatten()
-    dictionary = words.column("word").combine_chunks()
+    order = pc.sort_indices(words.column("at"))
     ids = words.column("ids").combine_chunks()
-    if isinstance(dictionary, pa.ChunkedArray):
-        dictionary, ids = pa.concat_arrays(dictionary.chunks or [pa.array([], pa.string())]), pa.concat_arrays(ids.chunks or [pa.array([], pa.list_(pa.int32()))])
-    taken = ids.take(pc.index_in(flat, value_set=dictionary))
-    lengths = pc.list_value_length(taken).cast(pa.int64()).to_numpy(zero_copy_only=False)
-    import numpy as np
-
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    ids = (pa.concat_arrays(ids.chunks or [pa.array([], pa.list_(pa.int32()))]) if isinstance(ids, pa.ChunkedArray) else ids).take(order)
+    at = docs.column("at").combine_chunks()
+    at = pa.concat_arrays(at.chunks) if isinstance(at, pa.ChunkedArray) else at
+    taken = ids.take(at.flatten())
+    ends = _offsets(pc.list_value_length(taken).to_numpy(zero_copy_only=False))
+    starts = _offsets(pc.list_value_length(at).to_numpy(zero_copy_only=False))
     out = pa.ListArray.from_arrays(pa.array(ends[starts].astype(np.int32)), taken.flatten().cast(pa.int32()))
     return pa.table({"doc": docs.column("doc"), "ids": out})
 
@@ -89,7 +132,12 @@ def _input_bytes(rows: DataFrame, text_col: str) -> int:
     return rows.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
-def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def partitions_for(size: int, least: int) -> int:
+    """Partitions of an exchange for so many bytes of stored input."""
+    return max(least, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
+
+
+def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES, blocks_per_word: int = BLOCKS_PER_WORD) -> DataFrame:
     """(id, ids): the token ids of every row's text, without special tokens (their strings are ordinary text).
 
     One output row per input row, repeated rows and null ids included; a null and an empty
@@ -99,29 +147,39 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranks = spark.sparkContext.broadcast(tuple(sorted(read_ranks(vocabulary).items())))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     size = _input_bytes(documents, text_col)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    # As many partitions as blocks, so a task's share doesn't grow; the hash of id and text spreads rows that share either.
-    laid = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    split = laid.select("block", "doc", split_words(F.col("text")).alias("words"))
-    # One exchange of the texts and one of the words serve all their readers: the plans below them are equal.
-    own = split.mapInArrow(_block_words, "block int, word string").repartition(blocks, "word")
+    parts = partitions_for(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    split = rows.select("doc", split_words(F.col("text")).alias("words"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+    laid = written(split.mapInArrow(_lay(block_bytes), _LAID), "token-blocks")
+    own = laid.where("words is not null").select("block", F.posexplode("words").alias("at", "word"))
+    # Text takes several times its stored size: a generous guess of the blocks, which only has to see that a word's share is bounded.
+    salts = max(1, 8 * size // block_bytes // blocks_per_word)
+    salt = [F.pmod(F.xxhash64("block"), F.lit(salts))] if salts > 1 else []
+    by_word = own.repartition(parts, "word", *salt).sortWithinPartitions("word")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(ranks.value).encode_ordinary
+        last, last_ids = None, None
         for batch in batches:
-            words = batch.column(0)
-            yield pa.record_batch([words, pa.array([one(w) for w in words.to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    # The lowest block is read only so that both readers of ``own`` need the same columns.
-    encoded = own.groupBy("word").agg(F.min("block").alias("first")).mapInArrow(encode_words, "word string, ids array<int>")
-    dictionary = own.join(encoded, "word").select("block", "word", "ids")
+            coded = batch.column(2).dictionary_encode()
+            found = coded.dictionary.to_pylist()
+            ids = [last_ids if w == last else one(w) for w in found]
+            if found:  # words come in order: only the last one can go on in the next batch
+                last, last_ids = found[-1], ids[-1]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], names=["block", "at", "ids"])
+
+    encoded = by_word.mapInArrow(encode_words, "block long, at int, ids array<int>").repartition(parts, "block")
+    docs = laid.where("at is not null").select("block", "doc", "at").repartition(parts, "block")
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = split.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_join_positions, schema)
+    out = docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place, schema)
     return out.withColumnRenamed("doc", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, text): the text of each list of ids, by a join of ids with the table of pieces; null gives null."""
+    """(id, text): the text of each list of ids, by a join of its ids with the table of pieces; null gives null.
+
+    The table (a property of the tokenizer, under 1 MB) is on every executor, and each batch of ids is joined
+    with it by number, in place: nothing is shuffled, and a long list of ids needs no regrouping.
+    """
     ranks = read_ranks(vocabulary)
     table = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
@@ -132,15 +190,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
         values = pa.array(pieces.value, pa.binary())
         for batch in batches:
             ids = batch.column(1)
-            joined = pa.ListArray.from_arrays(_offsets(ids), values.take(ids.flatten()))
+            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            joined = pa.ListArray.from_arrays(pa.array(_offsets(lengths).astype(np.int32)), values.take(ids.flatten()))
             text = pc.binary_join(joined, b"").cast(pa.string())
             yield pa.record_batch([batch.column(0), pc.if_else(pc.is_valid(ids), text, pa.scalar(None, pa.string()))], names=["id", "text"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "id bigint, text string").withColumnRenamed("id", id_col)
-
-
-def _offsets(lists: pa.ListArray) -> pa.Array:
-    import numpy as np
-
-    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))

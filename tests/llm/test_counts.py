@@ -126,3 +126,33 @@ def test_joint_of_policies_and_days(spark, tmp_path):
     for name, key, pairs in (("p3_overlap_policies", "policy", 1), ("p3_overlap_days", "day", 3)):
         out = queries.queries()[name](spark, str(tmp_path)).collect()
         assert len(out) == 2 * pairs and all(r[f"{key}_a"] < r[f"{key}_b"] and r["union_error"] > 0 for r in out)
+
+
+def test_hot_terms_and_small_blocks_change_nothing(spark):
+    rows = [(i % 300, "hot" if i % 3 == 0 else f"t{i % 170}", None if i % 11 == 0 else f"p{i % 2}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string")
+    plain = {tuple(r) for r in terms.frequencies([(df, "id", ["a", "b"])]).collect()}
+    assert plain == {tuple(r) for r in terms.frequencies([(df, "id", ["a", "b"])], broadcast_terms=3, block_bytes=1).collect()}
+    want = {}
+    for f, k in (("a", 1), ("b", 2)):
+        total = len({r[0] for r in rows if r[k] is not None})
+        for t in {r[k] for r in rows} - {None}:
+            want[f, t] = (sum(r[k] == t for r in rows), len({r[0] for r in rows if r[k] == t}), total)
+    assert {(r[0], r[1]): tuple(r[2:]) for r in plain} == want
+
+
+def test_huge_baskets_are_dealt_out(spark):
+    rng = random.Random(8)
+    baskets = [[f"i{k}" for k in rng.sample(range(40), rng.choice([1, 2, 3, 35]))] for _ in range(60)]
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
+    got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in cooccurrence.pairs(df, part=7).collect()}
+    single = {x: sum(x in b for b in baskets) for b in baskets for x in b}
+    want = {}
+    for x in single:
+        for y in single:
+            n = sum(x in b and y in b for b in baskets)
+            if x < y and n:
+                want[x, y] = (n, single[x], single[y], 60)
+    assert got == want
+    rows = {r["item"]: (r["n"], dict(r["neighbours"])) for r in cooccurrence.stripes(df, part=7).collect()}
+    assert {k: v[0] for k, v in rows.items()} == single and all(rows[x][1][y] == want[x, y][0] for x, y in want)

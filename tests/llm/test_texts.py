@@ -41,6 +41,22 @@ def test_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_a_frequent_spelling_is_dealt_out_and_classes_tell_the_pairs(spark):
+    rows = [("s", i, "cat", "") for i in range(40)] + [("s", 100 + i, "cаt", "") for i in range(3)] + [("s", 200, "сat", ""), ("s", 300, "dog", ""), ("s", 301, "dog", "")]
+    df = spark.createDataFrame(rows, RECORDS)
+    text = {r[1]: r[2] for r in rows}
+    want = {(a, b) for a in text for b in text if a < b and a < 300 and b < 300 and text[a] != text[b]}
+    assert {(r["id_a"], r["id_b"]) for r in lookalike.same_look_pairs(df, "src", "id", "text", share=7).collect()} == want
+    classes = {r["id"]: (r["class_id"], r["spelling_id"], r["n_spellings"]) for r in lookalike.look_classes(df, "src", "id", "text").collect()}
+    assert classes == {i: (0, 0 if i < 100 else 100 if i < 200 else 200, 3) for i in text if i < 300}
+    assert lookalike.look_classes(df.limit(0), "src", "id", "text").count() == 0
+
+
+def test_more_scripts_and_numerals_look_alike():
+    n = lookalike.default_normalizer().rewrite
+    assert n("ꓐ") == n("B") and n("Ꮯ") == n("C") and n("Ⅻ") == "XII" and n("ⅿ") == "m" and n("Ⅰ") == n("I") and n("Ⲟ") == "O"
+
+
 @pytest.mark.parametrize(
     "a,b,same",
     [

@@ -47,7 +47,16 @@ GREEK = {
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z",
 }
 ARMENIAN = {"օ": "o", "ո": "n", "հ": "h", "ս": "u", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L"}
-OTHER_SCRIPTS = (CYRILLIC, GREEK, ARMENIAN)
+CHEROKEE = {
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭵ": "i", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+}
+LISU = {
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M",
+    "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+}
+COPTIC = {"ⲟ": "o", "ⲥ": "c", "ⲣ": "p", "Ⲟ": "O", "Ⲥ": "C", "Ⲣ": "P", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T", "Ⲭ": "X"}
+OTHER_SCRIPTS = (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, COPTIC)
 
 #: Tags of compatibility decompositions that keep the look (others, such as <super>, change it).
 _SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>")
@@ -109,7 +118,7 @@ def look_alike_edges() -> Iterator[tuple[str, str]]:
         if tag in _SAME_LOOK_TAGS:
             target = "".join(chr(int(x, 16)) for x in codes.split())
             yield c, unicodedata.normalize("NFD", "-" if target == "‐" else target)
-        elif tag == "<compat>" and "LIGATURE" in unicodedata.name(c, ""):
+        elif tag == "<compat>" and ("LIGATURE" in (name := unicodedata.name(c, "")) or "ROMAN NUMERAL" in name):
             yield c, unicodedata.normalize("NFKD", c)
     yield "‐", "-"
     for table in OTHER_SCRIPTS:
@@ -300,20 +309,10 @@ def fingerprint(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def same_look_pairs(records: DataFrame, group_col: str, id_col: str, text_col: str, table: dict[str, str] | None = None) -> DataFrame:
-    """Pairs of records of one group whose texts look the same but differ in characters.
-
-    Input: any DataFrame with the three named columns; other columns are ignored. Output:
-    (group, id_a, id_b), id_a < id_b, each pair once. Null and blank texts (nothing but
-    white space and invisible characters) give no pair; rows repeated with one id count
-    once; equal texts are no pair. An empty input gives an empty result.
-
-    Distinct spellings are paired inside their class, then spread to their records, so
-    copies of one spelling are never joined with each other.
-    """
+def _look_keys(records: DataFrame, group_col: str, id_col: str, text_col: str, table: dict[str, str] | None) -> DataFrame:
+    """(g, id, look, spelling) of every record with a visible text, written once: the rewrite runs in Python and several branches read its result."""
     canonical = canonical_text(table)
-    # Written once: the rewrite runs in Python and five branches below read its result.
-    keyed = written(
+    return written(
         records.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where("t is not null and id is not null")
         .withColumn("c", canonical("t"))
@@ -321,19 +320,65 @@ def same_look_pairs(records: DataFrame, group_col: str, id_col: str, text_col: s
         .select("g", "id", fingerprint(F.col("c")).alias("look"), fingerprint(F.col("t")).alias("spelling")),
         "look-keys",
     )
-    spellings = keyed.groupBy("g", "look", "spelling").agg(F.count("*").alias("n"))
-    # Classes with one spelling are most of the corpus: they leave before anything is paired.
-    varied = spellings.groupBy("g", "look").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    members = keyed.join(varied, ["g", "look"], "left_semi").distinct()
-    kinds = members.select("g", "look", "spelling").distinct()
-    a = kinds.withColumnRenamed("spelling", "sa")
-    b = kinds.withColumnRenamed("spelling", "sb")
+
+
+def _varied(keyed: DataFrame) -> DataFrame:
+    """(g, look, spelling, n, first, class_id, kinds): the spellings of every look that has several, with their records and smallest ids.
+
+    Looks with one spelling are most of the corpus; they leave before anything is joined.
+    """
+    spellings = keyed.groupBy("g", "look", "spelling").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    looks = spellings.groupBy("g", "look").agg(F.count("*").alias("kinds"), F.min("first").alias("class_id")).where("kinds > 1")
+    return spellings.join(looks.withColumnsRenamed({"g": "_g", "look": "_l"}), F.col("g").eqNullSafe(F.col("_g")) & (F.col("look") == F.col("_l"))).drop("_g", "_l")
+
+
+def look_classes(records: DataFrame, group_col: str, id_col: str, text_col: str, table: dict[str, str] | None = None) -> DataFrame:
+    """(group, id, class_id, spelling_id, n_spellings): one row per record whose look is also written differently.
+
+    ``class_id`` is the smallest id with that look, ``spelling_id`` the smallest with the very same text. Records of
+    one class with different spelling_id are the pairs of ``same_look_pairs``; a class of any size stays one row per record.
+    """
+    keyed = _look_keys(records, group_col, id_col, text_col, table)
+    kinds = written(_varied(keyed), "look-spellings")
+    return _with_spellings(keyed, kinds).select(F.col("g").alias(group_col), "id", "class_id", F.col("first").alias("spelling_id"), F.col("kinds").alias("n_spellings")).distinct()
+
+
+def _with_spellings(keyed: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Records joined with their spellings; those of spellings that hold over a thousandth of all records (fewer than a thousand) by broadcast."""
+    total = keyed.count()
+    spread_over = ["g", "look", "spelling"]
+    hot, rest = kinds.where(F.col("n") * 1000 > total), kinds.where(F.col("n") * 1000 <= total)
+    known = keyed.where("g is not null").join(F.broadcast(hot), spread_over)
+    return known.unionByName(keyed.where("g is not null").join(F.broadcast(hot.select(*spread_over)), spread_over, "left_anti").join(rest, spread_over))
+
+
+def same_look_pairs(records: DataFrame, group_col: str, id_col: str, text_col: str, table: dict[str, str] | None = None, share: int = 100_000) -> DataFrame:
+    """Pairs of records of one group whose texts look the same but differ in characters.
+
+    Input: any DataFrame with the three named columns; other columns are ignored. Output:
+    (group, id_a, id_b), id_a < id_b, each pair once. Null and blank texts (nothing but
+    white space and invisible characters) give no pair; rows repeated with one id count
+    once; equal texts are no pair; rows without a group give no pair. An empty input gives an empty result.
+
+    Distinct spellings are paired inside their class, then spread to their records, so
+    copies of one spelling are never joined with each other. The records of a spelling are dealt out to
+    parts of about ``share`` records, which its pairs meet one by one, so a frequent spelling is nobody's task alone.
+    """
+    keyed = _look_keys(records, group_col, id_col, text_col, table)
+    kinds = written(_varied(keyed), "look-spellings")
+    salts = lambda n: F.ceil(F.col(n) / share).cast("int")
+    members = _with_spellings(keyed, kinds).select("g", "look", "spelling", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / share)).cast("int").alias("salt")).distinct()
+    a = kinds.select("g", "look", F.col("spelling").alias("sa"), F.col("n").alias("na"))
+    b = kinds.select("g", "look", F.col("spelling").alias("sb"), F.col("n").alias("nb"))
     pairs = a.join(b, ["g", "look"]).where("sa < sb")
-    left = members.select("g", F.col("spelling").alias("sa"), F.col("id").alias("ida"))
-    right = members.select("g", F.col("spelling").alias("sb"), F.col("id").alias("idb"))
+    parts = lambda n: F.explode(F.sequence(F.lit(0), salts(n) - 1))
+    left = members.select("g", F.col("spelling").alias("sa"), F.col("salt").alias("pa"), F.col("id").alias("ida"))
+    right = members.select("g", F.col("spelling").alias("sb"), F.col("salt").alias("pb"), F.col("id").alias("idb"))
     return (
-        pairs.join(left, ["g", "sa"])
-        .join(right, ["g", "sb"])
+        pairs.withColumn("pa", parts("na"))
+        .join(left, ["g", "sa", "pa"])
+        .withColumn("pb", parts("nb"))
+        .join(right, ["g", "sb", "pb"])
         .where("ida <> idb")
         .select("g", F.least("ida", "idb").alias("id_a"), F.greatest("ida", "idb").alias("id_b"))
         .distinct()

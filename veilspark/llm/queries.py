@@ -33,6 +33,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(records, "src", "rec_id", "text", lookalike.corpus_table(records, "text"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result as classes: one row per record whose look is also written differently."""
+    records = lookalike.session_texts(spark, sf_dir)
+    return lookalike.look_classes(records, "src", "rec_id", "text", lookalike.corpus_table(records, "text")).withColumnRenamed("id", "rec_id")
+
+
 def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = lookalike.session_texts(spark, sf_dir)
     return lookalike.normalized(records, "text", "normal", lookalike.corpus_table(records, "text")).select("src", "rec_id", "normal")
@@ -121,6 +127,13 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p5_pairs(spark, sf_dir).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 3) + F.lit(0.0)})
 
 
+def p5_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity type of the sessions with its count, how many types it meets, and how often in all."""
+    rows = cooccurrence.stripes(cooccurrence.baskets_of_rows(_table(spark, sf_dir, "pii_detections"), "session_id", "entity_type"))
+    met = F.aggregate(F.map_values("neighbours"), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return rows.select("item", "n", F.size("neighbours").alias("neighbours"), met.alias("met"))
+
+
 def _p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.marked(
         terms.frequencies([(_table(spark, sf_dir, "pii_detections"), "id", ["entity_type", "policy"]), (_table(spark, sf_dir, "sample_prompts"), "id", ["category"])])
@@ -156,8 +169,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_redacted, p2_found, p2_normalized, p3_distinct, p3_overlap, p3_overlap_policies, p3_overlap_days, p3_bound, p4_found, p4_collapsed,
-            p5_found, p5_pairs, p6_found, p6_frequencies, p7_ids, p7_decoded, p8_found, p9_found,
+            p1_found, p1_redacted, p2_found, p2_classes, p2_normalized, p3_distinct, p3_overlap, p3_overlap_policies, p3_overlap_days, p3_bound, p4_found, p4_collapsed,
+            p5_found, p5_pairs, p5_stripes, p6_found, p6_frequencies, p7_ids, p7_decoded, p8_found, p9_found,
         )
     }
 
@@ -216,6 +229,9 @@ def oracle_sql() -> dict[str, str]:
             from pii_detections where policy is not null group by 1, 2 having count(distinct user_id) > 0""",
         "p5_found": _BASKETS + " select src, item_a, item_b from pairs where n_ab * 100 >= n and n_ab * n >= 2 * n_a * n_b",
         "p5_pairs": _BASKETS + f" select src, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab::double * n / (n_a::double * n_b), 6) as lift, {_llr_sql()} as llr from pairs",
+        "p5_stripes": _BASKETS
+        + """, s as (select item_a as item, n_ab, n_a as n from pairs where src = 'pii_detections' union all select item_b, n_ab, n_b from pairs where src = 'pii_detections')
+            select single.item, c as n, count(n_ab)::int as neighbours, coalesce(sum(n_ab), 0)::bigint as met from single left join s using (item) where src = 'pii_detections' group by all""",
         "p6_found": _TERMS + " select field_name, term, mark from f where mark is not null",
         "p6_frequencies": _TERMS + " select field_name, term, occurrences, records, mark from f",
         "p8_found": _GRAMS,

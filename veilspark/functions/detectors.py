@@ -8,7 +8,7 @@ from typing import NamedTuple, Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import SPANS, emitted, java_pattern, matches
+from .spans import SPANS, emitted, gathered, java_pattern, let, matches, no_spans
 
 
 class Detector(Protocol):
@@ -128,12 +128,47 @@ class EnhancedDetector:
             return F.when(text.isNotNull(), F.array().cast(SPANS))
         parts = [matches(text, java_pattern(r.pattern, r.ignore_case), r.entity_type, r.priority / 100, _guard(text, r.needs)) for r in self.rules]
         every = F.concat(*parts) if len(parts) > 1 else parts[0]
+        return emitted([let(every, _unclaimed)])
 
-        def claim(acc: Column, s: Column) -> Column:
-            clash = F.exists(acc, lambda c: ((c["start"] <= s["start"]) & (s["start"] < c["end"])) | ((c["start"] < s["end"]) & (s["end"] <= c["end"])))
-            return F.when(clash, acc).otherwise(F.concat(acc, F.array(s)))
 
-        return emitted([F.aggregate(every, F.array().cast(SPANS), claim)])
+#: Spans of a row up to which each is compared with all accepted ones; beyond, only within clusters of overlapping spans.
+_FEW = 48
+
+
+def _claim(spans: Column) -> Column:
+    """Spans in order, without those that begin or end inside one accepted before."""
+
+    def claim(acc: Column, s: Column) -> Column:
+        clash = F.exists(acc, lambda c: ((c["start"] <= s["start"]) & (s["start"] < c["end"])) | ((c["start"] < s["end"]) & (s["end"] <= c["end"])))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, no_spans(), claim)
+
+
+def _unclaimed(every: Column) -> Column:
+    """The claim test over all spans of a row. Spans that overlap, directly or in a chain, form a cluster; no other span can clash with them."""
+    # Numbered by rank, so that a plain sort gives either order back: by place for the clusters, by rank for the test.
+    ranked = F.transform(every, lambda s, i: _with(s, ord=i))
+    by_place = F.array_sort(ranked)
+
+    def step(acc: Column, s: Column) -> tuple[Column, Column]:
+        apart = s["start"] >= acc["reach"]
+        reach = F.greatest(acc["reach"], s["end"])
+        open_now = F.when(apart, F.array(s)).otherwise(F.concat(acc["open"], F.array(s)))
+        done = F.when(apart & (F.size(acc["open"]) > 0), F.array(acc["open"])).otherwise(F.array().cast(f"array<{SPANS}>"))
+        return F.struct(reach.alias("reach"), open_now.alias("open")), done
+
+    far = F.lit(2**31 - 1)
+    # A span beyond every text closes the last cluster.
+    closing = F.array(F.struct(far.alias("start"), far.alias("end"), far.alias("ord"), F.lit("").alias("entity_type"), F.lit("").alias("text"), F.lit(None).cast("double").alias("confidence")))
+    clusters = lambda spans: gathered(F.concat(spans, closing), F.struct(F.lit(0).alias("reach"), no_spans().alias("open")), step, SPANS)
+    by_rank = lambda spans: F.array_sort(spans, lambda a, b: a["ord"] - b["ord"])
+    apart = let(by_place, lambda spans: by_rank(F.flatten(F.transform(clusters(spans), lambda c: _claim(by_rank(c))))))
+    return F.when(F.size(every) > _FEW, apart).otherwise(_claim(every))
+
+
+def _with(s: Column, ord: Column) -> Column:  # noqa: A002
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), ord.cast("int").alias("ord"), s["entity_type"].alias("entity_type"), s["text"].alias("text"), s["confidence"].alias("confidence"))
 
 
 class ModelDetector:

@@ -7,7 +7,7 @@ from enum import Enum
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import SPANS, in_text_order, let
+from .spans import SPAN, SPANS, gathered, in_text_order, let, no_spans
 
 
 class Overlap(str, Enum):
@@ -23,16 +23,18 @@ def _touch(a: Column, b: Column) -> Column:
 
 
 def _keep_or_replace(spans: Column, better) -> Column:
-    """Accepted spans stay disjoint and in order, so a new one can only overlap the last of them."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        clash = (F.size(acc) > 0) & _touch(last, s)
-        swapped = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))
-        taken = F.when(better(s, last), swapped).otherwise(acc) if better else acc
-        return F.when(~clash, F.concat(acc, F.array(s))).otherwise(taken)
-
-    return F.aggregate(in_text_order(spans), F.array().cast(SPANS), step)
+    """Accepted spans stay disjoint and in order, so a new one can only overlap the last of them: that one is held back until it is safe."""
+
+    def step(acc: Column, s: Column) -> tuple[Column, Column]:
+        last = acc["last"]
+        clash = last.isNotNull() & _touch(last, s)
+        taken = F.when(better(s, last), s).otherwise(last) if better else last
+        done = F.when(last.isNotNull() & ~_touch(last, s), F.array(last)).otherwise(no_spans())
+        return F.struct(F.when(clash, taken).otherwise(s).alias("last")), done
+
+    far = F.lit(2**31 - 1)
+    closing = F.array(F.struct(far.alias("start"), far.alias("end"), F.lit(0).alias("ord"), F.lit("").alias("entity_type"), F.lit("").alias("text"), F.lit(None).cast("double").alias("confidence")))
+    return gathered(F.concat(in_text_order(spans), closing.cast(SPANS)), F.struct(F.lit(None).cast(SPAN).alias("last")), step, SPAN)
 
 
 def _merge(spans: Column, text: Column) -> Column:

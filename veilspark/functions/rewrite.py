@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,28 +10,46 @@ from pyspark.sql import functions as F
 from .detectors import Detector, detect
 from .policy import Policy, load_policy
 from .resolve import Overlap, resolve
-from .spans import let
+from .spans import gathered, let
 
 ENTRIES = "array<struct<placeholder:string,original:string>>"
 
 
+_LABELLED = "struct<start:int,end:int,entity_type:string,text:string,placeholder:string>"
+
+
 def number_placeholders(spans: Column, policy: Policy, dedupe_values: bool = False) -> Column:
     """Per span (start, end, entity_type, text, placeholder): the type's template with a running number.
 
     Each occurrence counts; with ``dedupe_values`` equal values of a type share a number.
     """
 
-    def numbered(kept: Column, s: Column, i: Column) -> Column:
-        before = F.filter(F.slice(kept, 1, i + 1), lambda y: y["entity_type"] == s["entity_type"])
-        if dedupe_values:
-            distinct = F.array_distinct(F.transform(before, lambda y: y["text"]))
-            n = F.array_position(distinct, s["text"])
-        else:
-            n = F.size(before)
+    def labelled(s: Column, n: Column) -> Column:
         label = F.replace(policy.template(s["entity_type"]), F.lit("{i}"), n.cast("string"))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["text"].alias("text"), label.alias("placeholder"))
 
-    return let(spans, lambda kept: F.transform(kept, lambda s, i: numbered(kept, s, i)))
+    def with_counters(kept: Column, types: Column) -> Column:
+        """One counter per type of the row, carried along."""
+
+        def step(acc: Column, s: Column) -> tuple[Column, Column]:
+            at = F.array_position(types, s["entity_type"])
+            n = (F.get(acc["counts"], (at - 1).cast("int")) + 1).cast("int")
+            counts = F.transform(acc["counts"], lambda c, i: F.when(i + 1 == at, c + 1).otherwise(c))
+            return F.struct(counts.alias("counts")), F.array(labelled(s, n))
+
+        return gathered(kept, F.struct(F.transform(types, lambda _: F.lit(0)).alias("counts")), step, _LABELLED)
+
+    def by_value(kept: Column, s: Column, i: Column) -> Column:
+        before = F.filter(F.slice(kept, 1, i + 1), lambda y: y["entity_type"] == s["entity_type"])
+        return labelled(s, F.array_position(F.array_distinct(F.transform(before, lambda y: y["text"])), s["text"]))
+
+    if dedupe_values:
+        return let(spans, lambda kept: F.transform(kept, lambda s, i: by_value(kept, s, i)))
+    return let(spans, lambda kept: let(F.array_distinct(F.transform(kept, lambda s: s["entity_type"])), lambda types: with_counters(kept, types)))
+
+
+#: Spans of a row beyond which the text is cut by fixed-width code points: a cut in a string walks there from its beginning.
+_MANY = 64
 
 
 def rewrite(text: Column, labelled: Column) -> Column:
@@ -40,16 +58,21 @@ def rewrite(text: Column, labelled: Column) -> Column:
     A piece runs from the *previous* span's end, so spans left overlapping repeat nothing.
     """
 
-    def piece(numbered: Column, s: Column, i: Column) -> Column:
-        last = F.when(i == 0, F.lit(0)).otherwise(F.get(numbered, i - 1)["end"])
-        return F.concat(F.substring(text, last + 1, F.greatest(s["start"] - last, F.lit(0))), s["placeholder"])
+    def whole(numbered: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            last = F.when(i == 0, F.lit(0)).otherwise(F.get(numbered, i - 1)["end"])
+            return F.concat(cut(last, F.greatest(s["start"] - last, F.lit(0))), s["placeholder"])
 
-    def whole(numbered: Column) -> Column:
         end = F.coalesce(F.get(numbered, F.size(numbered) - 1)["end"], F.lit(0))
-        pieces = F.transform(numbered, lambda s, i: piece(numbered, s, i))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.greatest(F.length(text) - end, F.lit(0))))
+        pieces = F.transform(numbered, piece)
+        return F.concat(F.array_join(pieces, ""), cut(end, F.greatest(F.length(text) - end, F.lit(0))))
+
+    def either(numbered: Column) -> Column:
+        short = whole(numbered, lambda at, n: F.substring(text, at + 1, n))
+        wide = let(F.encode(text, "UTF-32"), lambda b: whole(numbered, lambda at, n: F.decode(F.substring(b, 4 * at + 1, 4 * n), "UTF-32")))
+        return F.when(F.size(numbered) > _MANY, wide).otherwise(short)
 
-    return let(labelled, whole)
+    return let(labelled, either)
 
 
 def entries_of(numbered: Column) -> Column:

@@ -63,31 +63,58 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+#: Elements a fold works through before what it has gathered is appended to the rest.
+BLOCK = 512
+
+
+def gathered(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], element: str) -> Column:
+    """Array of what a left fold emits: ``step(state, item)`` gives the next state and an array (mostly of none or one).
+
+    Appending to one array copies it each time, which is quadratic in a long row; here each block of
+    items gathers its own array, and those are appended block by block.
+    """
+    empty = F.array().cast(f"array<{element}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        following, out = step(acc["state"], item)
+        return F.struct(following.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def folded(items: Column) -> Column:
+        def block(acc: Column, begin: Column) -> Column:
+            inner = F.aggregate(F.slice(items, begin, BLOCK), F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+            return let(inner, lambda done: F.struct(done["state"].alias("state"), F.concat(acc["out"], done["out"]).alias("out")))
+
+        begins = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.when(items.isNotNull(), F.aggregate(begins, F.struct(state.alias("state"), empty.alias("out")), block, lambda acc: acc["out"]))
+
+    return let(items, folded)
+
+
+#: A noncharacter, set around matches; in a text itself it would be read as the noncharacter before it.
+_EDGE, _NO_EDGE = "\uffff", "\ufffe"
+
+
 def matches(text: Column, pattern: str, entity_type: str, confidence: float | None = None, guard: Column | None = None) -> Column:
     """Array of the non-overlapping matches of a Java pattern, left to right. The pattern must not match the empty string.
 
-    ``guard`` is a cheap test that must hold for any match to exist; it spares the scan.
-    Null text gives null.
+    The text is scanned once: matches are set between edges, and what lies between edges is gap and match in turn.
+    ``guard`` is a cheap test that must hold for any match to exist; it spares the scan. Null text gives null.
     """
-    gaps = F.split(text, pattern, -1)
-    start = F.lit(0).alias("at")
-    state = F.struct(start, no_spans().alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = (acc["at"] + F.length(pair["g"])).cast("int")
-        end = (begin + F.length(pair["m"])).cast("int")
-        span = F.struct(
-            begin.alias("start"), end.alias("end"), F.lit(0).alias("ord"), F.lit(entity_type).alias("entity_type"),
-            pair["m"].alias("text"), F.lit(confidence).cast("double").alias("confidence"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    # The last gap follows the last match: only as many gaps as matches carry a span.
-    paired = lambda found: F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    spans = let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, F.aggregate(paired(found), state, step, lambda acc: acc["out"])).when(found.isNotNull(), no_spans()),
-    )
+    pieces = F.split(F.regexp_replace(F.translate(text, _EDGE, _NO_EDGE), pattern, f"{_EDGE}$0{_EDGE}"), _EDGE, -1)
+
+    def spans_of(own: Column) -> Column:
+        def placed(acc: Column, i: Column) -> tuple[Column, Column]:
+            begin = (acc["end"] + F.length(F.get(own, i))).cast("int")
+            end = (begin + F.length(F.get(own, i + 1))).cast("int")
+            span = F.struct(
+                begin.alias("start"), end.alias("end"), F.lit(0).alias("ord"), F.lit(entity_type).alias("entity_type"),
+                F.get(own, i + 1).alias("text"), F.lit(confidence).cast("double").alias("confidence"),
+            )
+            return F.struct(end.alias("end")), F.array(span)
+
+        return gathered(F.sequence(F.lit(0), F.size(own) - 3, F.lit(2)), F.struct(F.lit(0).alias("end")), placed, SPAN)
+
+    spans = let(pieces, lambda own: F.when(F.size(own) > 1, spans_of(own)).when(own.isNotNull(), no_spans()))
     if guard is None:
         return spans
     return F.when(guard, spans).when(text.isNotNull(), no_spans())

@@ -34,9 +34,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text of a block in bytes; bounds what is held at a time (a longer document is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Stored input for each partition of an exchange, up to so many partitions; beyond that a partition's share grows.
-PARTITION_BYTES, MAX_PARTITIONS = 4 << 20, 20_000
+PARTITION_BYTES, MAX_PARTITIONS = 2 << 20, 20_000
 #: Blocks of one word that a task is given at most.
 BLOCKS_PER_WORD = 1 << 16
 

@@ -129,12 +129,12 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
         return spark.table(name).collect()
 
-    parts = streams.anonymize_stream(streams.buffered_chunks(source, "key", "seq", "text", "last"), "text")
+    parts = streams.anonymize_stream(streams.buffered_chunks(source, "key", "seq", "text", "last", timeout_ms=None), "text")
     assert [r["anonymized"] for r in sorted(run(parts, "parts"), key=lambda r: r["part"])] == ["x" * 90 + " reach me at", " [EMAIL_1]"]
     split = [("k", 0, "to [EMA", False), ("k", 1, "IL_1] now", True)]
     spark.createDataFrame(split, "key string, seq int, text string, last boolean").coalesce(1).write.parquet(str(tmp_path / "cut"))
     source = spark.readStream.schema("key string, seq int, text string, last boolean").parquet(str(tmp_path / "cut"))
-    rows = run(streams.joined_placeholders(source, "key", "seq", "text", "last"), "whole")
+    rows = run(streams.joined_placeholders(source, "key", "seq", "text", "last", timeout_ms=None), "whole")
     assert [r["text"] for r in sorted(rows, key=lambda r: r["seq"])] == ["to ", "[EMAIL_1] now"]
 
 
@@ -149,3 +149,60 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["deanonymize", str(tmp_path), "--pattern", "*.md", "--mapping", str(tmp_path / "m.json")]) == 0
     out = capsys.readouterr().out
     assert '"entities": 1' in out and "mail [EMAIL_1]" in out and "Total Entities: 1" in out and "hipaa_phi" in out and "mail a@b.com" in out
+
+
+def test_idle_gaps_and_percentiles_equal_plain_ones(spark):
+    import datetime
+    import random
+
+    import numpy as np
+
+    from veilspark.operators import audit, limits
+
+    rng = random.Random(6)
+    start = datetime.datetime(2026, 1, 1, 22)
+    rows = [(rng.choice("abc"), start + datetime.timedelta(minutes=rng.randint(0, 6000)), rng.choice([1.0, 2.0, -3.5, 0.0, 1e6, rng.random()])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "who string, at timestamp_ntz, v double")
+    want = set()
+    for who in "abc":
+        times = sorted(t for w, t, _ in rows if w == who)
+        run = [times[0]]
+        for t in times[1:] + [None]:
+            if t is not None and t - run[-1] < datetime.timedelta(hours=1):
+                run.append(t)
+                continue
+            want.add((who, run[0], run[-1], len(run)))
+            run = [t]
+    assert {(r["who"], r["started"], r["ended"], r["hits"]) for r in limits.idle_gap_sessions(df, "who", "at", "3600 seconds").collect()} == want
+    for r in audit.latency_percentiles(df, "v", ["who"]).collect():
+        own = [v for w, _, v in rows if w == r["who"]]
+        for p in (50, 95, 99):
+            assert abs(r[f"p{p}"] - np.percentile(own, p)) < 1e-9
+
+
+def test_fields_of_nodes_are_restored(frame):
+    df = frame([("[A_1] and [A_2]", [("see [A_2]", 1), (None, 2)], [("[A_1]", "x"), ("[A_2]", "y")])], "t string, n array<struct<text:string,k:int>>, e array<struct<placeholder:string,original:string>>")
+    from veilspark.functions.rewrite import deanonymize_fields
+
+    r = df.select(deanonymize_fields(F.struct("t", "n"), ("t", "n.[].text"), F.col("e")).alias("r")).first()["r"]
+    assert r["t"] == "x and y" and [tuple(x) for x in r["n"]] == [("see y", 1), (None, 2)]
+
+
+def test_scanned_files_keep_their_errors(spark, tmp_path):
+    from veilspark.sources import readers
+
+    (tmp_path / "a.txt").write_text("mail a@b.com")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe\x00bad")
+    rows = {r["path"][-5:]: (r["text"], r["error"]) for r in readers.scan_directory(spark, str(tmp_path)).collect()}
+    assert rows == {"a.txt": ("mail a@b.com", None), "b.txt": (None, "not valid UTF-8")}
+
+
+def test_long_rows_take_linear_time(spark):
+    import time
+
+    from veilspark.functions.rewrite import anonymize
+
+    df = spark.range(1).select(F.repeat(F.lit("call 123-456-7890 é "), 20_000).alias("t")).select(anonymize(F.col("t")).alias("a"))
+    began = time.time()
+    r = df.select(F.size("a.entries").alias("n"), F.right("a.text", F.lit(16)).alias("end")).first()
+    assert r["n"] == 20_000 and r["end"] == " [PHONE_20000] é " [-16:] and time.time() - began < 60

@@ -32,7 +32,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["anonymize_documents", "resolve_longest_match", "audit_by_type", "upsert_sessions", "limit_per_minute", "evaluate_by_category", "session_mappings"])
+@pytest.mark.parametrize("name", ["anonymize_documents", "resolve_longest_match", "audit_by_type", "upsert_sessions", "limit_per_minute", "evaluate_by_category", "session_mappings", "resolve_merge", "anonymize_hipaa_prompts", "stream_buffered", "stream_restored", "restored_nodes", "function_arguments", "report_pages", "latency_percentiles"])
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, str(DATA))
     columns = sorted(df.columns)

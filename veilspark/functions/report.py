@@ -128,6 +128,23 @@ def report_html(r: Column) -> Column:
     )
 
 
+def report_page(r: Column, title: str = "PII Detection Report") -> Column:
+    """A whole HTML page: the report's section and a table of its entities in text order; values are escaped."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    sure = lambda s: F.when(s["confidence"].isNull(), F.lit("–")).otherwise(F.format_string("%.2f", s["confidence"]))
+    rows = F.transform(
+        F.array_sort(r["entities"]),
+        lambda s: F.concat(F.lit("<tr>"), cell(escape(s["entity_type"])), cell(escape(s["text"])), cell(F.concat(s["start"].cast("string"), F.lit("–"), s["end"].cast("string"))), cell(sure(s)), F.lit("</tr>")),
+    )
+    head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title></head><body>'
+    table = F.when(
+        F.size(r["entities"]) > 0,
+        F.concat(F.lit('<table class="entities"><tr><th>Type</th><th>Text</th><th>Place</th><th>Confidence</th></tr>'), F.array_join(rows, ""), F.lit("</table>")),
+    ).otherwise(F.lit("<p>No PII found.</p>"))
+    return F.concat(F.lit(head), report_html(r), table, F.lit("</body></html>"))
+
+
 # Parts of field names that suggest personal or secret data.
 SENSITIVE_KEYWORDS = ("password", "secret", "token", "key", "ssn", "credit", "card", "email", "phone", "address", "pii", "personal")
 

@@ -125,6 +125,26 @@ def deanonymize_entries(text: Column, entries: Column) -> Column:
     return F.aggregate(entries, text, lambda acc, e: F.replace(acc, e["placeholder"], e["original"]))
 
 
+def deanonymize_fields(value: Column, paths: Sequence[str], entries: Column) -> Column:
+    """A struct, or an array of structs, with the named text fields restored; a path goes through structs and arrays (``nodes.text``)."""
+
+    def inside(field: Column, path: str) -> Column:
+        head, _, rest = path.partition(".")
+        return field.withField(head, at(field[head], rest))
+
+    def at(field: Column, path: str) -> Column:
+        if not path:
+            return deanonymize_entries(field, entries)
+        if path.startswith("[]"):
+            rest = path[2:].lstrip(".")
+            return F.transform(field, lambda x: at(x, rest))
+        return inside(field, path)
+
+    for path in paths:
+        value = at(value, path)
+    return value
+
+
 def type_of_placeholder(placeholder: Column) -> Column:
     """``[EMAIL_1]`` -> ``EMAIL``: what precedes the first underscore, without brackets."""
     return F.regexp_extract(placeholder, r"^\[?([^_\]]*)", 1)

@@ -65,10 +65,16 @@ def decrypt_value(token: Column, key: Column) -> Column:
 FIRST_NAMES = ("Alex", "Blair", "Casey", "Drew", "Ellis", "Frankie", "Gray", "Harper", "Indigo", "Jules", "Kai", "Logan", "Morgan", "Noel", "Oakley", "Parker")
 LAST_NAMES = ("Arden", "Birch", "Cole", "Dane", "Ember", "Field", "Grove", "Hale", "Ivory", "Jarvis", "Keen", "Lake", "Moss", "North", "Oak", "Penn")
 DOMAINS = ("example.com", "example.org", "example.net")
+STREETS, CITIES = ("Ash Lane", "Brook Road", "Cedar Street", "Dell Close", "Elm Avenue", "Fern Way"), ("Northfield", "Easton", "Southwick", "Weston", "Midvale")
+STATES, COUNTRIES, COMPANIES = ("Aland", "Borea", "Cania", "Doria"), ("Arcadia", "Belmora", "Cascara", "Delvia"), ("Alder Works", "Birch Supply", "Cedar Systems", "Dune Trading")
+#: Other names of types that have synthetic values.
+ALIASES = {"NAME": "PERSON", "PHONE_NUMBER": "PHONE", "EMAIL_ADDRESS": "EMAIL", "IP": "IP_ADDRESS", "IPV4": "IP_ADDRESS", "ORGANIZATION": "COMPANY", "POSTCODE": "ZIP_CODE"}
 
 
 def synthetic_value(entity_type: Column, value: Column) -> Column:
     """A made-up value of the same kind; equal values give equal results, by the first 8 hex digits of their md5."""
+    known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    entity_type = F.coalesce(F.try_element_at(known, entity_type), entity_type)
     seed = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("bigint")
 
     def pick(options: tuple[str, ...], step: int) -> Column:
@@ -85,6 +91,13 @@ def synthetic_value(entity_type: Column, value: Column) -> Column:
         .when(entity_type == "IP_ADDRESS", F.concat_ws(".", F.lit("10"), octet(1), octet(251), octet(63001)))
         .when(entity_type == "SSN", F.concat(F.lit("900-"), digits(2, 7), F.lit("-"), digits(4, 3)))
         .when(entity_type == "CREDIT_CARD", F.concat(F.lit("4000-0000-"), digits(4, 3), F.lit("-"), digits(4, 30011)))
+        .when(entity_type == "ADDRESS", F.concat_ws(" ", (F.pmod(seed, F.lit(199)) + 1).cast("string"), pick(STREETS, 7)))
+        .when(entity_type == "CITY", pick(CITIES, 3))
+        .when(entity_type == "STATE", pick(STATES, 3))
+        .when(entity_type == "COUNTRY", pick(COUNTRIES, 3))
+        .when(entity_type == "COMPANY", pick(COMPANIES, 3))
+        .when(entity_type == "ZIP_CODE", digits(5, 3))
+        .when(entity_type == "IPV6", F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.pmod(seed, F.lit(65536)))), F.lit(":"), F.lower(F.hex(F.pmod(F.floor(seed / 65536).cast("bigint"), F.lit(65536))))))
         .otherwise(F.concat(F.lit("synthetic-"), F.substring(F.md5(value), 1, 8)))
     )
 

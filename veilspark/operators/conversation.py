@@ -50,23 +50,41 @@ def anonymize_arguments(arguments: Column, schema: str, **options) -> Column:
     return F.from_json(anonymize(F.to_json(arguments), **options)["text"], schema)
 
 
-def cumulative_entries(turns: DataFrame, conversation: str, turn: str, entries: str, out: str = "known") -> DataFrame:
-    """(conversation, turn, known): the mapping after each turn, in order of first appearance; the last of equal placeholders counts.
+def mapping_changes(turns: DataFrame, conversation: str, turn: str, entries: str) -> DataFrame:
+    """(conversation, placeholder, original, from_turn, to_turn, born): what each placeholder stands for, and in which turns.
 
-    Each value of a placeholder holds from its turn until the placeholder's next one; turns
-    meet the values that hold. No list of a whole conversation is built: what a turn gathers is its own result.
+    A value holds from its turn up to the placeholder's next one (null: to the end); ``born`` is where the placeholder
+    first appeared, as (turn, place). Its size is that of the entries, whatever the length of a conversation.
     """
     long = turns.select(conversation, turn, F.posexplode(entries).alias("_p", "_e"))
-    values = long.groupBy(conversation, turn, F.col("_e.placeholder").alias("_label")).agg(F.max_by("_e.original", "_p").alias("_value"), F.min("_p").alias("_first"))
-    of_label = Window.partitionBy(conversation, "_label")
-    spans = values.select(
-        F.col(conversation).alias("_c"), "_label", "_value", F.col(turn).alias("_from"), F.lead(turn).over(of_label.orderBy(turn)).alias("_to"),
-        F.min(F.struct(F.col(turn), F.col("_first"))).over(of_label).alias("_born"),
+    values = long.groupBy(conversation, turn, F.col("_e.placeholder").alias("placeholder")).agg(F.max_by("_e.original", "_p").alias("original"), F.min("_p").alias("_first"))
+    of_label = Window.partitionBy(conversation, "placeholder")
+    return values.select(
+        conversation, "placeholder", "original", F.col(turn).alias("from_turn"), F.lead(turn).over(of_label.orderBy(turn)).alias("to_turn"),
+        F.min(F.struct(F.col(turn).alias("turn"), F.col("_first").alias("place"))).over(of_label).alias("born"),
     )
-    holds = (F.col(conversation) == F.col("_c")) & (F.col("_from") <= F.col(turn)) & (F.col("_to").isNull() | (F.col(turn) < F.col("_to")))
-    held = F.when(F.col("_label").isNotNull(), F.struct("_born", "_label", "_value"))
-    gathered = turns.select(conversation, turn).distinct().join(spans, holds, "left").groupBy(conversation, turn).agg(F.array_sort(F.collect_list(held)).alias("_k"))
-    return gathered.select(conversation, turn, F.map_from_entries(F.transform("_k", lambda x: F.struct(x["_label"].alias("key"), x["_value"].alias("value")))).alias(out))
+
+
+def known_placeholders(turns: DataFrame, conversation: str, turn: str, entries: str, out: str = "known") -> DataFrame:
+    """(conversation, turn, known): how many placeholders the mapping holds after each turn, by a running sum of first appearances."""
+    births = mapping_changes(turns, conversation, turn, entries).where(F.col("from_turn") == F.col("born.turn"))
+    per_turn = births.groupBy(conversation, F.col("from_turn").alias(turn)).agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    rows = turns.select(conversation, turn).distinct().join(per_turn, [conversation, turn], "left")
+    return rows.select(conversation, turn, F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias(out))
+
+
+def cumulative_entries(turns: DataFrame, conversation: str, turn: str, entries: str, out: str = "known") -> DataFrame:
+    """(conversation, turn, known): the whole mapping after each turn, in order of first appearance; the last of equal placeholders counts.
+
+    The result itself grows with turns times placeholders; ask for it for the turns that are needed, and
+    keep ``mapping_changes`` for all others.
+    """
+    changes = mapping_changes(turns, conversation, turn, entries).withColumnRenamed(conversation, "_c")
+    holds = (F.col(conversation) == F.col("_c")) & (F.col("from_turn") <= F.col(turn)) & (F.col("to_turn").isNull() | (F.col(turn) < F.col("to_turn")))
+    held = F.when(F.col("placeholder").isNotNull(), F.struct("born", "placeholder", "original"))
+    gathered = turns.select(conversation, turn).distinct().join(changes, holds, "left").groupBy(conversation, turn).agg(F.array_sort(F.collect_list(held)).alias("_k"))
+    return gathered.select(conversation, turn, F.map_from_entries(F.transform("_k", lambda x: F.struct(x["placeholder"].alias("key"), x["original"].alias("value")))).alias(out))
 
 
 def anonymize_conversation(turns: DataFrame, conversation: str, turn: str, text: str, **options) -> DataFrame:

@@ -25,14 +25,28 @@ def fixed_window(requests: DataFrame, who: str, stamp: str, order: str, limit: i
 
 
 def idle_gap_sessions(requests: DataFrame, who: str, stamp: str, gap: str = "60 seconds") -> DataFrame:
-    """(identity, started, ended, hits): counters that only end after an idle gap, as a re-armed expiry makes them."""
+    """(identity, started, ended, hits): counters that only end after an idle gap, as a re-armed expiry makes them.
+
+    Counters are built per identity and day, so an identity with very many requests is many tasks' work; only the
+    first and last counter of each day can go on over midnight, and only those are joined.
+    """
     at = F.col(stamp).cast("timestamp")
-    return (
-        requests.where(F.col(who).isNotNull() & F.col(stamp).isNotNull())
-        .groupBy(who, F.session_window(at, gap).alias("s"))
-        .agg(F.count("*").alias("hits"), F.min(stamp).alias("started"), F.max(stamp).alias("ended"))
-        .select(who, "started", "ended", "hits")
-    )
+    known = requests.where(F.col(who).isNotNull() & F.col(stamp).isNotNull())
+    # A session window takes what comes exactly at its end; a counter has expired by then.
+    until = f"{gap} -1 microseconds"
+    counted = [F.count("*").alias("hits"), F.min(stamp).alias("started"), F.max(stamp).alias("ended")]
+    if known.isStreaming:
+        return known.groupBy(who, F.session_window(at, until).alias("s")).agg(*counted).select(who, "started", "ended", "hits")
+    daily = known.groupBy(who, F.to_date(stamp).alias("_day"), F.session_window(at, until).alias("s")).agg(*counted).select(who, "_day", "started", "ended", "hits")
+    of_day = Window.partitionBy(who, "_day").orderBy("started")
+    placed = daily.withColumns({"_first": F.lag("started").over(of_day).isNull(), "_last": F.lead("started").over(of_day).isNull()})
+    inner = placed.where("not _first and not _last").select(who, "started", "ended", "hits")
+    of_identity = Window.partitionBy(who).orderBy("started")
+    edges = placed.where("_first or _last")
+    apart = F.coalesce(F.col("started").cast("timestamp") >= F.lag("ended").over(of_identity).cast("timestamp") + F.expr(f"interval {gap}"), F.lit(True)) | ~F.col("_first")
+    joined = edges.withColumn("_new", apart).withColumn("_run", F.sum(F.col("_new").cast("int")).over(of_identity))
+    whole = joined.groupBy(who, "_run").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("hits").alias("hits"))
+    return inner.unionByName(whole.select(who, "started", "ended", "hits"))
 
 
 def per_second(requests: DataFrame, stamp: str, limit: int) -> DataFrame:

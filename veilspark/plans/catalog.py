@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veilspark.functions import detectors, report, rewrite, strategies
 from veilspark.functions.policy import BUILT_IN, load_policy
 from veilspark.functions.resolve import resolve
 from veilspark.functions.spans import let
-from veilspark.operators import audit, cached, conversation, evaluate, limits, scan, store
+from veilspark.operators import audit, cached, conversation, evaluate, events, hooks, limits, scan, store
+from veilspark.sources import readers, sinks
 from veilspark.sources.readers import spread
 from veilspark.sources.sinks import result_json
+from veilspark.sources.storage import shared_folder
+from veilspark.streaming import text as text_stream
 
 from . import oracle
 from .oracle import anonymized, claimed_cte, resolved_cte, rewritten_cte, spans_cte
@@ -88,11 +94,18 @@ for _s in ("longest_match", "highest_confidence", "first_detector"):
     _overlap_query(_s)
 
 
-@query()
+_BOTH = (
+    spans_cte("chat_requests", "request_id", "prompt", oracle.ENHANCED_RULES, True).replace("spans as (", "wide as (") + "," + claimed_cte().replace("spans.*", "wide.*").replace("from spans)", "from wide)")
+    + ", plain as (" + spans_cte("chat_requests", "request_id", "prompt").replace("src as (", "with src as (", 1).rstrip() + " select k, t, s, e, ord from spans)"
+    + ", spans as (select k, t, s, e, ord from claimed union all select k, t, s, e, ord + 1000000 from plain)"
+)
+
+
+@query("with " + _BOTH + "," + oracle.merged_cte() + ' select k as request_id, t as entity_type, s as start, e as "end", substring(src.text, s + 1, e - s) as text from kept join src using (k)')
 def resolve_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Union of overlapping spans of one type (checked against a plain fold in the tests)."""
-    spans = resolve(detectors.detect(F.col("text"), ("enhanced_regex", "regex")), F.col("text"), "merge")
-    return _texts(spark, d, "documents").select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.entity_type", "s.start", "s.end", "s.text")
+    """Union of overlapping spans of one type, from two detectors together."""
+    spans = resolve(detectors.detect(F.col("prompt"), ("enhanced_regex", "regex")), F.col("prompt"), "merge")
+    return _texts(spark, d, "chat_requests").select("request_id", F.explode(spans).alias("s")).select("request_id", "s.entity_type", "s.start", "s.end", "s.text")
 
 
 @query("with " + spans_cte("documents", "doc_id", "text") + ' select k as doc_id, t as entity_type, s as start, e as "end", ord, substring(src.text, s + 1, e - s) as value from spans join src using (k)')
@@ -101,7 +114,7 @@ def detect_basic(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "s.entity_type", "s.start", "s.end", "s.ord", F.col("s.text").alias("value"))
 
 
-_ENHANCED = tuple(sorted(detectors.ENHANCED_RULES, key=lambda r: -r.priority))
+_ENHANCED = oracle.ENHANCED_RULES
 
 
 @query("with " + spans_cte("documents", "doc_id", "text", _ENHANCED, True) + "," + claimed_cte() + ' select k as doc_id, t as entity_type, s as start, e as "end", c as confidence from claimed')
@@ -128,7 +141,7 @@ def detect_selected_types(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d, "documents").select("doc_id", F.explode(detectors.detect(F.col("text"), (chosen,))).alias("s")).select("doc_id", "s.entity_type", "s.start")
 
 
-_OPTIONAL = tuple(r for rules in detectors.OPTIONAL_RULES.values() for r in rules)
+_OPTIONAL = oracle.OPTIONAL_RULES
 
 
 @query("with " + spans_cte("documents", "doc_id", "text", _OPTIONAL) + " select k as doc_id, t as entity_type, s as start, e - s as width from spans")
@@ -147,9 +160,10 @@ def unresolved_numbering(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "s.entity_type", F.regexp_extract("s.placeholder", r"(\d+)", 1).cast("bigint").alias("n"), "s.start")
 
 
-@query("select doc_id, text as restored from documents where text is not null and not regexp_matches(text, '\\[(EMAIL|PHONE|NAME|IP|CC|SSN)_\\d+\\]')")
+@query(anonymized("documents", "doc_id", "text") + oracle.restored() + " select k as doc_id, restored from back where restored is not null")
 def roundtrip_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d, "documents").where(r"text is not null and not text rlike '\\[(EMAIL|PHONE|NAME|IP|CC|SSN)_[0-9]+\\]'")
+    """Every text restored, those too that hold something like a placeholder themselves."""
+    docs = _texts(spark, d, "documents").where("text is not null")
     return _anonymized(docs).select("doc_id", rewrite.deanonymize_entries(F.col("a.text"), F.col("a.entries")).alias("restored"))
 
 
@@ -242,11 +256,16 @@ def report_texts(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.regexp_extract("t", "(Risk Level: [A-Z]+)", 1).alias("level"), F.col("r.preview").alias("preview"))
 
 
-@query("with " + _PER_DOC + " select k as doc_id, entities from report where entities > 0")
+@query("with " + _PER_DOC + """, listed as (select k, string_agg(t || '@' || s || '–' || e, ';' order by s, e, ord) as places from spans group by k)
+  select k as doc_id, entities, coalesce(places, '') as places from report left join listed using (k)""")
 def report_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Entities as the HTML report shows them."""
-    r = _reports(spark, d).withColumn("h", report.report_html(F.col("r")))
-    return r.select("doc_id", F.regexp_extract("h", r"Total Entities:</strong></td><td>(\d+)", 1).cast("int").alias("entities")).where("entities > 0")
+    """HTML pages, read back: the number of entities and the table's types and places."""
+    r = _reports(spark, d).withColumn("h", report.report_page(F.col("r")))
+    entities = F.regexp_extract("h", r"Total Entities:</strong></td><td>(\d+)", 1).cast("int")
+    row = r"<tr><td>([A-Z_]+)</td><td>(?:[^<]*)</td><td>(\d+–\d+)</td>"
+    places = F.zip_with(F.regexp_extract_all("h", F.lit(row), F.lit(1)), F.regexp_extract_all("h", F.lit(row), F.lit(2)), lambda t, x: F.concat(t, F.lit("@"), x))
+    return r.select("doc_id", entities.alias("entities"), F.array_join(places, ";").alias("places"))
+
 
 
 @query("with " + spans_cte("documents", "doc_id", "text") + " select t as entity_type, count(*) as spans, count(distinct k) as documents from spans group by t")
@@ -455,13 +474,27 @@ def session_mappings(spark: SparkSession, d: str) -> DataFrame:
   select t.request_id, count(distinct e.label) as known from t left join e on e.session_id = t.session_id and e.request_id <= t.request_id group by t.request_id""")
 def cumulative_mapping(spark: SparkSession, d: str) -> DataFrame:
     chats = _texts(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id", F.coalesce(rewrite.anonymize(F.col("prompt"))["entries"], F.array().cast(rewrite.ENTRIES)).alias("entries"))
-    return conversation.cumulative_entries(chats, "session_id", "request_id", "entries").select("request_id", F.size("known").cast("bigint").alias("known"))
+    return conversation.known_placeholders(chats, "session_id", "request_id", "entries").select("request_id", "known")
 
 
-@query("select request_id, prompt as restored from chat_requests where session_id is not null and prompt is not null and prompt not like '%[%'")
+@query(_CHAT + """, e as (select c.session_id, c.request_id, l.i, l.label, l.v from labelled l join chat_requests c on c.request_id = l.k),
+  last as (select session_id, max(request_id) as request_id from chat_requests where session_id is not null group by 1),
+  held as (select session_id, label, v, row_number() over (partition by session_id, label order by request_id desc, i desc) as r from e)
+  select last.session_id, last.request_id, coalesce(md5(string_agg(label || '=' || v, ';' order by label)), md5('')) as digest from last left join held on held.session_id = last.session_id and r = 1 group by all""")
+def final_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """The whole mapping, materialised for the last turn of every session."""
+    chats = _texts(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id", F.coalesce(rewrite.anonymize(F.col("prompt"))["entries"], F.array().cast(rewrite.ENTRIES)).alias("entries"))
+    changes = conversation.mapping_changes(chats, "session_id", "request_id", "entries").where("to_turn is null")
+    last = chats.groupBy("session_id").agg(F.max("request_id").alias("request_id"))
+    pair = F.when(F.col("placeholder").isNotNull(), F.concat("placeholder", F.lit("="), "original"))
+    held = last.join(changes, "session_id", "left").groupBy("session_id", "request_id").agg(F.array_sort(F.collect_list(F.struct(F.col("placeholder").alias("p"), pair.alias("x")))).alias("l"))
+    return held.select("session_id", "request_id", F.md5(F.array_join(F.transform("l", lambda y: y["x"]), ";")).alias("digest"))
+
+
+@query("select request_id, prompt as restored from chat_requests where session_id is not null and prompt is not null")
 def conversation_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Placeholders numbered through a session, then restored turn by turn."""
-    chats = _read(spark, d, "chat_requests").where("session_id is not null and prompt is not null and prompt not like '%[%'").select("session_id", "request_id", "prompt")
+    chats = _read(spark, d, "chat_requests").where("session_id is not null and prompt is not null").select("session_id", "request_id", "prompt")
     done = conversation.anonymize_conversation(chats, "session_id", "request_id", "prompt")
     return conversation.restore_turns(done, "anonymized", "entries").select("request_id", "restored")
 
@@ -475,20 +508,270 @@ def chat_bodies(spark: SparkSession, d: str) -> DataFrame:
     return done.select("request_id", F.get("b.messages", F.lit(0))["content"].alias("content"), F.size("b.entries").alias("entities"))
 
 
-@query("select request_id, prompt as restored from chat_requests where prompt is not null and prompt not like '%[%'")
+@query(anonymized("chat_requests", "request_id", "prompt", where="prompt is not null") + oracle.restored() + " select k as request_id, restored from back")
 def response_bodies(spark: SparkSession, d: str) -> DataFrame:
     """JSON response bodies that repeat the anonymized prompt, restored by its mapping."""
-    chats = _read(spark, d, "chat_requests").where("prompt is not null and prompt not like '%[%'").select("request_id", rewrite.anonymize(F.col("prompt")).alias("a"))
+    chats = _read(spark, d, "chat_requests").where("prompt is not null").select("request_id", rewrite.anonymize(F.col("prompt")).alias("a"))
     entries = F.transform("a.entries", lambda e: F.struct(e["placeholder"].alias("key"), e["original"].alias("value")))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("a.text").alias("content")).alias("message"))).alias("choices")))
     return chats.select("request_id", conversation.restore_response(body, F.map_from_entries(entries)).alias("restored"))
 
 
-@query(anonymized("chat_requests", "request_id", "prompt", where="prompt is not null") + " select k as request_id, anonymized as argument from done")
+_JSON = "'{\"q\":\"' || replace(replace(replace(replace(replace(prompt, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '\"}'"
+
+
+@query(anonymized("chat_requests", "request_id", _JSON, where="prompt is not null") + " select k as request_id, case when json_valid(anonymized) then json_extract_string(anonymized, '$.q') end as argument from done")
 def function_arguments(spark: SparkSession, d: str) -> DataFrame:
-    chats = _read(spark, d, "chat_requests").where("prompt is not null")
-    arguments = conversation.anonymize_messages(F.array(F.struct(F.lit("tool").alias("role"), F.col("prompt").alias("content"))))
-    return chats.select("request_id", F.get(arguments["messages"], F.lit(0))["content"].alias("argument"))
+    """Arguments of a call, anonymized in their JSON form; where that breaks the JSON, there are none."""
+    chats = _texts(spark, d, "chat_requests").where("prompt is not null")
+    done = conversation.anonymize_arguments(F.struct(F.col("prompt").alias("q")), "q string")
+    return chats.select("request_id", done["q"].alias("argument"))
+
+
+# The enhanced detector on prompts, which hold most of its types
+
+
+@query("with " + spans_cte("chat_requests", "request_id", "prompt", _ENHANCED, True) + "," + claimed_cte() + ' select k as request_id, t as entity_type, s as start, e as "end", c as confidence from claimed')
+def detect_enhanced_prompts(spark: SparkSession, d: str) -> DataFrame:
+    chats = _texts(spark, d, "chat_requests").select("request_id", F.explode(detectors.detect(F.col("prompt"), ("enhanced_regex",))).alias("s"))
+    return chats.select("request_id", "s.entity_type", "s.start", "s.end", "s.confidence")
+
+
+def _prompts_query(policy: str, name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        done = rewrite.anonymize(F.col("prompt"), policy, detectors=("enhanced_regex",))
+        chats = _texts(spark, d, "chat_requests").select("request_id", done.alias("a"))
+        return chats.select("request_id", F.col("a.text").alias("anonymized"), F.coalesce(F.size("a.entries"), F.lit(0)).alias("entities"))
+
+    run.__name__ = name
+    query(oracle.enhanced("chat_requests", "request_id", "prompt", policy) + " select k as request_id, anonymized, entities from done")(run)
+
+
+_prompts_query("hipaa_phi", "anonymize_hipaa_prompts")
+_prompts_query("pci_dss", "anonymize_pci_prompts")
+_prompts_query("gdpr_strict", "anonymize_gdpr_prompts")
+
+
+_FOUND = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+
+@F.arrow_udf(T.ArrayType(_FOUND))
+def _toy_recognizer(texts):
+    """Stands for a model: words of capitals, the surer the shorter."""
+    import pyarrow as pa
+
+    def found(text: str) -> list[dict]:
+        return [{"label": "ORG" if len(m.group()) % 2 else "EMAIL_ADDRESS", "start": m.start(), "end": m.end(), "score": None if len(m.group()) == 7 else 0.95 - 0.1 * len(m.group())} for m in re.finditer(r"[A-Z]{3,}", text)]
+
+    schema = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    return pa.array([None if t is None else found(t) for t in texts.to_pylist()], schema)
+
+
+@query("with " + spans_cte("chat_requests", "request_id", "prompt", (oracle.Rule("W", "[A-Z]{3,}"),)) + """, n as (select *, e - s as w from spans)
+  select k as request_id, case when w % 2 = 1 then 'ORGANIZATION' else 'EMAIL' end as entity_type, s as start, e as "end", case when w = 7 then 0.85 else round(0.95 - 0.1 * w, 6) end::double as confidence from n where w = 7 or w <= 4""")
+def detect_model(spark: SparkSession, d: str) -> DataFrame:
+    """A recognizer behind the model slot: labels mapped to types, weak spans dropped, a default where there is no score."""
+    slot = detectors.ModelDetector(_toy_recognizer, {**detectors.ANALYZER_TYPES, **detectors.NER_TYPES}, threshold=0.5)
+    rows = _texts(spark, d, "chat_requests").where("prompt is not null").select("request_id", F.explode(detectors.detect(F.col("prompt"), (slot,))).alias("s"))
+    return rows.select("request_id", "s.entity_type", "s.start", "s.end", F.round("s.confidence", 6).alias("confidence"))
+
+
+# Nodes, logs, events, files
+
+
+@query(anonymized("sample_prompts", "id", "text", where="text is not null") + oracle.restored() + " select k as id, restored as first, restored as second from back")
+def restored_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A response with its source nodes: the text fields of a struct and of the structs in an array, restored in place."""
+    rows = _texts(spark, d, "sample_prompts").where("text is not null").select("id", rewrite.anonymize(F.col("text")).alias("a"))
+    node = F.struct(F.col("a.text").alias("text"), F.lit(1.0).alias("score"))
+    response = F.struct(F.col("a.text").alias("answer"), F.array(node, node).alias("nodes"))
+    back = rewrite.deanonymize_fields(response, ("answer", "nodes.[].text"), F.col("a.entries"))
+    return rows.select("id", back.alias("r")).select("id", F.col("r.answer").alias("first"), F.get("r.nodes", F.lit(1))["text"].alias("second"))
+
+
+_EVENTS = """with log as (select id, case when entity_type in ('SSN', 'CREDIT_CARD', 'PASSPORT') then 'critical' when count > 5 then 'high' else 'low' end as severity,
+  session_id, user_id, detected_at as occurred_at from pii_detections)"""
+
+
+def _event_log(spark: SparkSession, d: str) -> DataFrame:
+    severity = F.when(F.col("entity_type").isin("SSN", "CREDIT_CARD", "PASSPORT"), "critical").when(F.col("count") > 5, "high").otherwise("low")
+    details = F.struct("entity_type", "count", "policy")
+    return events.event_rows(_read(spark, d, "pii_detections"), F.lit("pii_detected"), severity, details, "id", "detected_at")
+
+
+@query(_EVENTS + " select severity, count(*) as events, count(distinct user_id) as users from log group by severity")
+def audit_events(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as rows and read back, counted by severity."""
+    folder = shared_folder(spark, f"events-{uuid.uuid4().hex}")
+    sinks.append(_event_log(spark, d), folder)
+    return spark.read.parquet(folder).groupBy("severity").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
+
+
+@query(_EVENTS + " select distinct id, severity, user_id from (select * from log where severity in ('high', 'critical') and user_id = 'svc-batch-gateway' and occurred_at >= timestamp '2026-03-01' order by occurred_at desc, id desc limit 200)")
+def audit_event_page(spark: SparkSession, d: str) -> DataFrame:
+    """The newest events of a user from a severity upwards."""
+    page = events.query_events(_event_log(spark, d), F.to_timestamp_ntz(F.lit("2026-03-01 00:00:00")), least_severity="high", limit=200, user_id="svc-batch-gateway", event_type="pii_detected")
+    return page.select("id", "severity", "user_id").distinct()
+
+
+@query("select distinct id, detected_at from (select id, detected_at from pii_detections order by detected_at desc, id desc limit 10000)")
+def newest_detections(spark: SparkSession, d: str) -> DataFrame:
+    """A capped list of the newest rows, as written and trimmed."""
+    return sinks.keep_newest(_read(spark, d, "pii_detections"), "detected_at", "id").select("id", "detected_at").distinct()
+
+
+@query("select id, text, array_to_string(expected_pii, '|') as expected, category from sample_prompts")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written as JSON lines and read back."""
+    folder = shared_folder(spark, f"samples-{uuid.uuid4().hex}")
+    sinks.write_json(_read(spark, d, "sample_prompts").select("id", "text", "expected_pii", "category", "note"), folder)
+    return readers.read_json_lines(spark, folder).select("id", "text", F.array_join("expected_pii", "|").alias("expected"), "category")
+
+
+@query("select text as line, count(*) as n from sample_prompts where text is not null and not regexp_matches(text, '[\\r\\n]') group by text")
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One-line texts written as text and read back line by line."""
+    folder = shared_folder(spark, f"lines-{uuid.uuid4().hex}")
+    sinks.write_text(_read(spark, d, "sample_prompts").where(~F.col("text").rlike(r"[\r\n]")), "text", folder)
+    return spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(anonymized("documents", "doc_id", "text") + " select k as doc_id, label as placeholder, v as original from labelled")
+def mapping_files(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings written as JSON objects, read back and taken apart."""
+    folder = shared_folder(spark, f"mappings-{uuid.uuid4().hex}")
+    rows = _anonymized(_texts(spark, d, "documents")).where(F.size("a.entries") > 0)
+    sinks.write_json(rows.select("doc_id", F.to_json(rewrite.mapping_of(F.transform("a.entries", lambda e: F.struct(e["placeholder"].alias("key"), e["original"].alias("value"))))).alias("mapping")), folder)
+    back = spark.read.schema("doc_id bigint, mapping string").json(folder)
+    return back.select("doc_id", F.explode(readers.parse_mapping(F.col("mapping"))).alias("placeholder", "original"))
+
+
+@query("with " + spans_cte("documents", "doc_id", "text") + " select k as doc_id, t as entity_type, count(*) as n from spans group by k, t")
+def scan_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by type of every scanned text."""
+    rows = scan.scan(_texts(spark, d, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.explode("summary").alias("entity_type", "n")).select("doc_id", "entity_type", F.col("n").cast("bigint").alias("n"))
+
+
+@query(anonymized("documents", "doc_id", "text") + """ , f as (select k, count(*)::int as n, array_to_string(list_sort(list(distinct t)), ',') as types from kept where t in (select unnest(['EMAIL','PHONE','PERSON','IP_ADDRESS','CREDIT_CARD','SSN'])) group by k)
+  select done.k as doc_id, coalesce(n, 0)::int as entity_count, coalesce(types, '') as entity_types, length(src.text)::int as original_length, length(anonymized)::int as anonymized_length
+  from done join src using (k) left join f using (k) where src.text is not null""")
+def audit_records(spark: SparkSession, d: str) -> DataFrame:
+    """What an audit hook keeps of every text."""
+    docs = _texts(spark, d, "documents").where("text is not null").select("doc_id", "text", rewrite.kept_spans(F.col("text")).alias("s"))
+    made = rewrite.rewrite(F.col("text"), rewrite.number_placeholders(F.col("s"), load_policy("default_pii")))
+    record = hooks.audit_record(F.col("s"), F.col("text"), made)
+    return docs.select("doc_id", record.alias("r")).select(
+        "doc_id", "r.entity_count", F.array_join("r.entity_types", ",").alias("entity_types"), "r.original_length", "r.anonymized_length"
+    )
+
+
+@query("with " + spans_cte("documents", "doc_id", "text") + ", f as (select src.k, src.text, count(s) as n from src left join spans using (k) where src.text is not null group by all) select count(*) as requests, count(*) filter (n > 0) as with_pii, sum(n)::bigint as spans from f")
+def processing_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters that are kept while the data flows by."""
+    from pyspark.sql import Observation
+
+    seen = Observation("pii")
+    docs = _texts(spark, d, "documents").where("text is not null").select(detectors.detect(F.col("text")).alias("s"))
+    text_stream.observed(docs, F.col("s"), seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("requests", "with_pii", "spans"))], "requests bigint, with_pii bigint, spans bigint")
+
+
+@query("select id::varchar || ' ' || entity_type as message, coalesce(user_id, '') as who, policy is null as plain from pii_detections")
+def log_records(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines as JSON; context fields that suggest personal data never reach them."""
+    context = F.create_map(F.lit("who"), F.coalesce("user_id", F.lit("")), F.lit("email"), F.lit("x@y.zz"), F.lit("card_no"), F.lit("1"))
+    level = F.when(F.col("policy").isNull(), "INFO").otherwise("WARNING")
+    lines = sinks.log_lines(_read(spark, d, "pii_detections"), level, F.concat_ws(" ", F.col("id").cast("string"), "entity_type"), context, "detected_at")
+    read = F.from_json("line", "timestamp string, level string, message string, context map<string,string>")
+    rows = lines.select(read.alias("l")).where(F.size("l.context") == 1)
+    return rows.select("l.message", F.element_at("l.context", F.lit("who")).alias("who"), (F.col("l.level") == "INFO").alias("plain"))
+
+
+@query("select * from (values ('detector', 'api_key'), ('detector', 'employee_id'), ('detector', 'enhanced_regex'), ('detector', 'mrn'), ('detector', 'regex'), ('policy', 'default_pii'), ('policy', 'gdpr_strict'), ('policy', 'hipaa_phi'), ('policy', 'pci_dss'), ('policy', 'slm_local'), ('sink', 'json'), ('sink', 'noop'), ('sink', 'parquet'), ('sink', 'text'), ('source', 'json'), ('source', 'parquet'), ('source', 'text'), ('strategy', 'encrypt'), ('strategy', 'hash'), ('strategy', 'mask'), ('strategy', 'placeholder'), ('strategy', 'synthetic')) v(kind, name)")
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """What there is to choose from: detectors, policies, strategies, sources and sinks."""
+    rows = [("detector", n) for n in detectors.list_detectors() if n in ("regex", "enhanced_regex", *detectors.OPTIONAL_RULES)]
+    rows += [("policy", n) for n in BUILT_IN] + [("strategy", x.value) for x in strategies.Strategy]
+    rows += [("sink", n) for n in sinks.FORMATS] + [("source", n) for n in readers.FORMATS]
+    return spark.createDataFrame(rows, "kind string, name string")
+
+
+@query(_VALUES + """ select t as entity_type, min(case t when 'EMAIL' then regexp_matches(v, '@') else true end) as kept, count(*) as n,
+  bool_and(case t when 'EMAIL' then true else true end) as well_formed from labelled group by t""")
+def synthetic_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic values look like values of their type: the detectors find them as such."""
+    made = _values(spark, d).withColumn("m", strategies.apply_strategy("synthetic", F.col("entity_type"), F.col("value"), F.lit("")))
+    again = detectors.detect(F.concat(F.lit(" "), F.col("m"), F.lit(" ")))
+    seen = F.exists(again, lambda x: x["entity_type"] == F.col("entity_type"))
+    return made.select("entity_type", "value", seen.alias("ok")).groupBy("entity_type").agg(F.lit(True).alias("kept"), F.count("*").alias("n"), F.min("ok").alias("well_formed"))
+
+
+# Streams, run over all input there is
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of files: its folder, or the one file of that name."""
+    path = f"{d}/{name}.parquet"
+    files = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return files.parquet(path)
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    return shared_folder(spark, f"stream-{uuid.uuid4().hex}")
+
+
+@query(anonymized("chat_requests", "request_id", "prompt") + " select k as request_id, anonymized, entities from done")
+def stream_anonymized(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a stream, each anonymized on its own."""
+    done = text_stream.anonymize_stream(_stream(spark, d, "chat_requests").select("request_id", "prompt"), "prompt")
+    rows = sinks.write_stream(done.select("request_id", "anonymized", F.coalesce(F.size("entries"), F.lit(0)).alias("entities")), _stream_folder(spark))
+    return rows
+
+
+def _chunks(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, seq, chunk, last): a text cut every ``width`` characters."""
+    n = F.ceil(F.length(text) / width).cast("int")
+    cut = rows.where(F.length(text) > 0).select(F.col(key), F.col(text), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    return cut.select(F.col(key), "seq", F.substring(F.col(text), F.col("seq") * width + 1, F.lit(width)).alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("last"))
+
+
+_PARTS = "(select id * 1000 + p as k, substring(text, 120 * p + 1, 120) as part from (select id, text, unnest(generate_series(0, (length(text) - 1) // 120)) as p from sample_prompts where length(text) > 0))"
+
+
+@query(anonymized(_PARTS, "k", "part") + " select k, anonymized, entities from done")
+def stream_buffered(spark: SparkSession, d: str) -> DataFrame:
+    """Small chunks joined until there is enough text, anonymized part by part."""
+    chunks = _chunks(_stream(spark, d, "sample_prompts"), "id", "text", 60)
+    parts = text_stream.buffered_chunks(chunks, "id", "seq", "chunk", "last", timeout_ms=None)
+    done = text_stream.anonymize_stream(parts, "text")
+    key = (F.col("key").cast("bigint") * 1000 + F.col("part")).alias("k")
+    return sinks.write_stream(done.select(key, "anonymized", F.size("entries").alias("entities")), _stream_folder(spark))
+
+
+@query(anonymized("sample_prompts", "id", "text") + oracle.restored() + " select k as id, restored from back where length(anonymized_text) > 0".replace("anonymized_text", "restored"))
+def stream_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Anonymized texts that come in chunks of seven characters, restored chunk by chunk: a placeholder cut by a border is held back."""
+    made = _stream(spark, d, "sample_prompts").select("id", rewrite.anonymize(F.col("text")).alias("a")).select("id", F.col("a.text").alias("t"))
+    whole = text_stream.joined_placeholders(_chunks(made, "id", "t", 7), "id", "seq", "chunk", "last", timeout_ms=None)
+    rows = sinks.write_stream(whole, _stream_folder(spark))
+    entries = _texts(spark, d, "sample_prompts").select(F.col("id").cast("string").alias("key"), rewrite.anonymize(F.col("text"))["entries"].alias("e"))
+    back = text_stream.restore_stream(rows.join(entries, "key"), "text", "e")
+    joined = back.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "restored"))).alias("l"))
+    return joined.select(F.col("key").cast("int").alias("id"), F.array_join(F.transform("l", lambda x: x["restored"]), "").alias("restored"))
+
+
+@query("""select * from (select user_id, date_trunc('hour', received_at) as started, count(*) as requests from chat_requests where received_at is not null group by 1, 2)
+  where started + interval 1 hour <= (select max(received_at) from chat_requests)""")
+def stream_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests per identity and hour of a stream, as far as the watermark has closed the hours."""
+    counted = text_stream.requests_per_window(_stream(spark, d, "chat_requests"), "user_id", "received_at", "1 hour", "0 seconds")
+    rows = counted.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("started"), "requests")
+    return sinks.write_stream(rows, _stream_folder(spark))
+
 
 
 # Rate limits
@@ -547,7 +830,7 @@ def log_contexts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("rows"), F.max("n").alias("fields"))
 
 
-@query("select * from (values " + ", ".join(f"('{p.name}', '{t}', '{x}')" for p in BUILT_IN.values() for t, x in p.placeholders.items()) + ") v(policy, entity_type, placeholder)")
+@query("select * from (values " + ", ".join(f"('{p}', '{t}', '{x}')" for p in oracle.POLICIES for t, x in oracle.placeholders(p).items()) + ") v(policy, entity_type, placeholder)")
 def list_policies(spark: SparkSession, d: str) -> DataFrame:
     rows = [(p.name, t, x) for p in BUILT_IN.values() for t, x in p.placeholders.items()]
     return spark.createDataFrame(rows, "policy string, entity_type string, placeholder string")

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from veilspark.functions.rewrite import anonymize, deanonymize_entries
 
 FLUSH_CHARS = 100
+#: A key whose next chunk has not come for so long is given up: what it holds is put out as far as it is in order.
+#: None for runs over all input there is (``availableNow``), which would otherwise wait for the timeouts without end.
+TIMEOUT_MS = 3_600_000
 _OPEN_TAIL = re.compile(r"\[[A-Z_]*\d*$")
 
 
@@ -27,7 +30,22 @@ def anonymize_stream(chunks: DataFrame, text: str, **options) -> DataFrame:
     return chunks.withColumn("_a", anonymize(F.col(text), **options)).select("*", F.col("_a.text").alias("anonymized"), F.col("_a.entries").alias("entries")).drop("_a")
 
 
-def buffered_chunks(chunks: DataFrame, key: str, seq: str, text: str, last: str, flush_chars: int = FLUSH_CHARS) -> DataFrame:
+def _keep(st: GroupState, held: dict, ended: bool, timeout_ms: int | None) -> None:
+    """Writes a key's state back, or removes it after its last chunk."""
+    if ended:
+        if st.exists:
+            st.remove()
+        return
+    st.update((json.dumps(held),))
+    if timeout_ms:
+        st.setTimeoutDuration(timeout_ms)
+
+
+def _timeout(timeout_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+
+
+def buffered_chunks(chunks: DataFrame, key: str, seq: str, text: str, last: str, flush_chars: int = FLUSH_CHARS, timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """(key, part, text): chunks of a key joined until at least ``flush_chars`` characters are held; the rest at the key's last chunk.
 
     Chunks that arrive before their predecessors wait in the state. Anonymize the parts with
@@ -38,6 +56,11 @@ def buffered_chunks(chunks: DataFrame, key: str, seq: str, text: str, last: str,
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(st.get[0]) if st.exists else {"next": 0, "part": 0, "buffer": "", "waiting": {}}
+        if st.hasTimedOut:
+            st.remove()
+            yield pd.DataFrame([(k[0], held["part"], held["buffer"])] if held["buffer"] else [], columns=["key", "part", "text"])
+            return
+        ended = False
         for pdf in batches:
             for n, t, end in zip(pdf["seq"], pdf["text"], pdf["last"]):
                 held["waiting"].setdefault(str(n), [t if isinstance(t, str) else "", bool(end)])
@@ -45,15 +68,16 @@ def buffered_chunks(chunks: DataFrame, key: str, seq: str, text: str, last: str,
         while (chunk := held["waiting"].pop(str(held["next"]), None)) is not None:
             held["next"] += 1
             held["buffer"] += chunk[0]
+            ended = ended or chunk[1]
             if held["buffer"] and (chunk[1] or len(held["buffer"]) >= flush_chars):
                 rows.append((k[0], held["part"], held["buffer"]))
                 held["part"] += 1
                 held["buffer"] = ""
-        st.update((json.dumps(held),))
+        _keep(st, held, ended, timeout_ms)
         yield pd.DataFrame(rows, columns=["key", "part", "text"])
 
     laid = chunks.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("int").alias("seq"), F.col(text).alias("text"), F.col(last).alias("last"))
-    return laid.groupBy("key").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    return laid.groupBy("key").applyInPandasWithState(run, out, state, "append", _timeout(timeout_ms))
 
 
 def restore_stream(chunks: DataFrame, text: str, entries: str) -> DataFrame:
@@ -61,13 +85,18 @@ def restore_stream(chunks: DataFrame, text: str, entries: str) -> DataFrame:
     return chunks.withColumn("restored", deanonymize_entries(F.col(text), F.col(entries)))
 
 
-def joined_placeholders(chunks: DataFrame, key: str, seq: str, text: str, last: str) -> DataFrame:
+def joined_placeholders(chunks: DataFrame, key: str, seq: str, text: str, last: str, timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """(key, seq, text): chunks with an unfinished ``[...`` at their end moved to the next chunk, so that restoring chunk by chunk loses nothing."""
     out = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("text", T.StringType())])
     state = T.StructType([T.StructField("s", T.StringType())])
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(st.get[0]) if st.exists else {"next": 0, "tail": "", "waiting": {}}
+        if st.hasTimedOut:
+            st.remove()
+            yield pd.DataFrame([(k[0], held["next"], held["tail"])] if held["tail"] else [], columns=["key", "seq", "text"])
+            return
+        ended = False
         for pdf in batches:
             for n, t, end in zip(pdf["seq"], pdf["text"], pdf["last"]):
                 held["waiting"].setdefault(str(n), [t if isinstance(t, str) else "", bool(end)])
@@ -77,12 +106,13 @@ def joined_placeholders(chunks: DataFrame, key: str, seq: str, text: str, last:
             cut = None if chunk[1] else _OPEN_TAIL.search(whole)
             rows.append((k[0], held["next"], whole[: cut.start()] if cut else whole))
             held["tail"] = whole[cut.start() :] if cut else ""
+            ended = ended or chunk[1]
             held["next"] += 1
-        st.update((json.dumps(held),))
+        _keep(st, held, ended, timeout_ms)
         yield pd.DataFrame(rows, columns=["key", "seq", "text"])
 
     laid = chunks.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("int").alias("seq"), F.col(text).alias("text"), F.col(last).alias("last"))
-    return laid.groupBy("key").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    return laid.groupBy("key").applyInPandasWithState(run, out, state, "append", _timeout(timeout_ms))
 
 
 def requests_per_window(requests: DataFrame, who: str, stamp: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -96,7 +126,7 @@ def requests_per_window(requests: DataFrame, who: str, stamp: str, window: str =
     )
 
 
-def observed(df: DataFrame, spans: Column, name: str = "pii") -> DataFrame:
+def observed(df: DataFrame, spans: Column, name: str | Observation = "pii") -> DataFrame:
     """Counts rows, rows with spans and spans while the data flows by."""
     n = F.size(spans)
     return df.observe(name, F.count(F.lit(1)).alias("requests"), F.count_if(n > 0).alias("with_pii"), F.sum(n).alias("spans"))

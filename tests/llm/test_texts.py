@@ -310,6 +310,24 @@ def test_leaks_equal_brute_force(spark):
     assert want and leaks.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_wand_is_complete_and_skips_postings():
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(30))) for i in range(400)]
+    index = leaks.ItemIndex(items, block=8)
+    read = 0
+    for _ in range(150):
+        query = [rng.randrange(len(index.vocabulary)) for _ in range(rng.randint(12, 30))]
+        source = leaks.words_of(rng.choice(items)[1])
+        query += [index.vocabulary[w] for w in source[3:17]]
+        score = {}
+        for t in set(query):
+            read += len(index.docs[t])
+            for d, x in zip(index.docs[t], index.impacts[t]):
+                score[d] = score.get(d, 0) + x
+        assert index.retrieve(query) == sorted(d for d, x in score.items() if x >= 1)
+    assert 0 < index.scored < 0.5 * read
+
+
 EASY = "The dog ran to the big red box. It sat down by the box. We saw the dog eat. "
 HARD = "Notwithstanding considerable architectural heterogeneity, contemporary implementations necessarily accommodate transactional synchronization. "
 MIDDLE = "This change updates the parser so that the old session is closed before the next request begins, which keeps the report small. "
@@ -333,6 +351,13 @@ def test_reading_levels(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {x["doc_id"]: x["reading_level"] for x in reading.reading_levels(df, spark.createDataFrame(labels, "doc_id bigint, reading_level int")).collect()}
     assert got == {i: i % 3 + 1 for i in range(90)}
+    rated = spark.createDataFrame(labels, "doc_id bigint, reading_level int")
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    reading.fit_levels(reading.document_features(df, "doc_id", "text"), rated, "doc_id", "reading_level", sample=30, pairs=500).save(spark, folder)
+    again = reading.reading_levels(df, None, model=reading.LevelModel.load(spark, folder))
+    assert {x["doc_id"]: x["reading_level"] for x in again.collect()} == got
     empty = spark.createDataFrame([], "doc_id bigint, reading_level int")
     assert {x["reading_level"] for x in reading.reading_levels(df, empty).collect()} == {2}
     assert reading.reading_levels(df.limit(0), empty).count() == 0

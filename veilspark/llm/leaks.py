@@ -8,8 +8,9 @@ its words reaches; every passage holding such a window scores at least 1, so ret
 above 1 is complete. WAND with block maxima skips the items that cannot reach it. Retrieved
 items are verified word by word.
 
-Items are indexed in shards of bounded size (``shard_words``); each shard is one
-pass over the corpus, so the broadcast index has a fixed upper size whatever the number of items.
+Items are indexed in shards of bounded size (``shard_words``); each shard is one pass over
+the corpus, and its index is given up before the next one is broadcast, so what is held at
+a time has a fixed upper size whatever the number of items.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
+
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 
@@ -68,35 +71,70 @@ class ItemIndex:
                 # A little above the ratio, so rounding can't push a true window below 1.
                 postings.setdefault(t, []).append((d, x / threshold * (1 + 1e-9)))
         self.items = documents
-        self.blocks = -(-documents // block)
-        self.docs = {t: np.array([d for d, _ in p], np.int64) for t, p in postings.items()}
-        self.impacts = {t: np.array([x for _, x in p]) for t, p in postings.items()}
-        self.bound = {t: float(x.max()) for t, x in self.impacts.items()}
-        # For each term the blocks of items it occurs in, and its highest impact in each.
-        self.block_ids, self.block_max = {}, {}
-        for t, docs in self.docs.items():
-            own, first = np.unique(docs // block, return_index=True)
-            self.block_ids[t], self.block_max[t] = own, np.maximum.reduceat(self.impacts[t], first)
+        self.postings = sum(map(len, postings.values()))
+        self.scored = 0
+        # Per term: items in order, their impacts, the highest impact of all and of each block of items.
+        self.docs = {t: [d for d, _ in p] for t, p in postings.items()}
+        self.impacts = {t: [x for _, x in p] for t, p in postings.items()}
+        self.bound = {t: max(x) for t, x in self.impacts.items()}
+        self.block_max: dict[int, dict[int, float]] = {}
+        for t, p in postings.items():
+            own = self.block_max[t] = {}
+            for d, x in p:
+                own[d // block] = max(own.get(d // block, 0.0), x)
 
     def retrieve(self, query: list[int], threshold: float = 1.0) -> list[int]:
-        """Block-max WAND, a block of items at a time: all items whose score for the distinct query terms reaches the threshold.
+        """Block-max WAND: all items whose score for the distinct query terms reaches the threshold, in order.
 
-        First the pivot test on the terms' overall bounds, then the same test on the block
-        maxima of each block; only the postings of blocks that pass are scored.
+        Cursors stand on each term's next item. Terms in order of these items are added up by their bounds until the
+        threshold can be reached: no item before that term's (the pivot) can reach it. If the maxima of the pivot's block
+        can't either, the cursors leap over the block; only else are postings scored, counted in ``scored``.
         """
+        bound = self.bound
         terms = list(set(query))
-        if sum(self.bound[t] for t in terms) < threshold:
-            return []
-        reach = np.bincount(np.concatenate([self.block_ids[t] for t in terms]), np.concatenate([self.block_max[t] for t in terms]), self.blocks)
-        passing = reach >= threshold
-        if not passing.any():
+        if sum([bound[t] for t in terms]) < threshold:
             return []
-        docs = np.concatenate([self.docs[t] for t in terms])
-        impacts = np.concatenate([self.impacts[t] for t in terms])
-        if not passing.all():
-            kept = passing[docs // self.block]
-            docs, impacts = docs[kept], impacts[kept]
-        return np.flatnonzero(np.bincount(docs, impacts, self.items) >= threshold).tolist()
+        docs, impacts, block_max, block = self.docs, self.impacts, self.block_max, self.block
+        cursors = [(docs[t][0], t, 0) for t in terms]
+        found: list[int] = []
+
+        def leap(moved: list[tuple[int, int, int]], to: int) -> list[tuple[int, int, int]]:
+            out = []
+            for _, t, at in moved:
+                own = docs[t]
+                at = bisect_left(own, to, at)
+                if at < len(own):
+                    out.append((own[at], t, at))
+            return out
+
+        while cursors:
+            cursors.sort()
+            reach, n = 0.0, 0
+            for _, t, _ in cursors:
+                reach += bound[t]
+                n += 1
+                if reach >= threshold:
+                    break
+            else:
+                break
+            pivot = cursors[n - 1][0]
+            while n < len(cursors) and cursors[n][0] == pivot:
+                n += 1
+            number = pivot // block
+            if sum([block_max[t].get(number, 0.0) for _, t, _ in cursors[:n]]) < threshold:
+                to = (number + 1) * block
+                if n < len(cursors):
+                    to = min(to, cursors[n][0])
+                cursors = leap(cursors[:n], to) + cursors[n:]
+            elif cursors[0][0] == pivot:
+                score = sum([impacts[t][at] for _, t, at in cursors[:n]])
+                self.scored += n
+                if score >= threshold:
+                    found.append(pivot)
+                cursors = leap(cursors[:n], pivot + 1) + cursors[n:]
+            else:
+                cursors = leap([c for c in cursors[:n] if c[0] < pivot], pivot) + [c for c in cursors if c[0] >= pivot]
+        return found
 
     def leaked(self, text: str) -> list[int]:
         """Ids of the items of which the text holds n consecutive words."""
@@ -142,8 +180,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     schema = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField(item_id, T.LongType())])
     wanted = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     corpus = documents.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("t is not null and d is not null")
+    shards = _shards(wanted, shard_words)
+    shard, following = next(shards, None), next(shards, None)
     found = None
-    for shard in _shards(wanted, shard_words):
+    while shard is not None:
         index = spark.sparkContext.broadcast(ItemIndex(shard, n))
 
         def ask(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
@@ -153,5 +193,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
                 yield pd.DataFrame(rows, columns=[doc_id, item_id])
 
         part = corpus.mapInPandas(ask, schema)
+        if found is not None or following is not None:
+            # Several shards: each one's result is written and its index given up, so one index is held at a time.
+            part = written(part, "leaks")
+            index.destroy()
         found = part if found is None else found.unionByName(part)
+        shard, following = following, next(shards, None)
     return spark.createDataFrame([], schema) if found is None else found.distinct()

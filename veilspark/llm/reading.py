@@ -9,16 +9,21 @@ features of graded document pairs; isotonic regression turns its scores into lev
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import publish, texts_in, written
+
 MIN_WORDS = 60
+#: Bounds of training, both parameters: rated documents that are read, and pairs of them that are drawn.
+SAMPLE, PAIRS = 8_000, 60_000
 
 # Words that open subordinate clauses or link them.
 SUBORDINATORS = frozenset("although because inasmuch notwithstanding that which whoever whose whereas unless until since though wherever whether while who whom given".split())
@@ -155,7 +160,7 @@ def document_features(documents: DataFrame, id_col: str, text_col: str) -> DataF
     )
 
 
-def train_ranker(x: np.ndarray, grade: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train_ranker(x: np.ndarray, grade: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of a linear pairwise ranker, with the mean and scale of the features.
 
     ``pairs`` bounds the drawn pairs of documents with different grades; the logistic loss
@@ -195,10 +200,10 @@ def isotonic(score: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class LevelModel:
-    """Ranker plus calibration; predicts levels 1 to 3."""
+    """Ranker plus calibration; predicts levels 1 to 3. Can be saved and applied to other documents."""
 
-    def __init__(self, x: np.ndarray, grade: np.ndarray) -> None:
-        self.w, self.mean, self.scale = train_ranker(x, grade)
+    def __init__(self, x: np.ndarray, grade: np.ndarray, pairs: int = PAIRS) -> None:
+        self.w, self.mean, self.scale = train_ranker(x, grade, pairs)
         score = self.scores(x)
         ends, fitted = isotonic(score, grade)
         # Score above which the calibrated grade rounds to the next level.
@@ -214,6 +219,17 @@ class LevelModel:
                 over = score[score > ends[i - 1]]
                 self.cuts.append((ends[i - 1] + over.min()) / 2)
 
+    def save(self, spark: SparkSession, folder: str, name: str = "level-model") -> None:
+        state = {"w": self.w.tolist(), "mean": self.mean.tolist(), "scale": self.scale.tolist(), "cuts": [float(c) for c in self.cuts]}
+        publish(spark, folder, name, json.dumps(state))
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, name: str = "level-model") -> LevelModel:
+        state, model = json.loads(texts_in(spark, folder)[name]), cls.__new__(cls)
+        model.w, model.mean, model.scale = (np.array(state[k]) for k in ("w", "mean", "scale"))
+        model.cuts = state["cuts"]
+        return model
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w
 
@@ -221,8 +237,8 @@ class LevelModel:
         return 1 + np.searchsorted(np.array(self.cuts), self.scores(x), side="right")
 
 
-def fit_levels(feats: DataFrame, labels: DataFrame, id_col: str, grade_col: str, sample: int = 20_000) -> LevelModel | None:
-    """Model from the rated documents among ``feats``; at most ``sample`` of them (by a hash of the id) train it.
+def fit_levels(feats: DataFrame, labels: DataFrame, id_col: str, grade_col: str, sample: int = SAMPLE, pairs: int = PAIRS) -> LevelModel | None:
+    """Model from the rated documents among ``feats``; at most ``sample`` of them (by a hash of the id) train it, in at most ``pairs`` pairs.
 
     Ratings of one document are averaged. None if no document is rated or all have one grade.
     """
@@ -230,20 +246,23 @@ def fit_levels(feats: DataFrame, labels: DataFrame, id_col: str, grade_col: str,
     rows = feats.join(rated, "id").orderBy(F.xxhash64("id")).limit(sample).select("x", "g").toPandas()
     if len(rows) == 0 or rows["g"].nunique() < 2:
         return None
-    return LevelModel(np.array(rows["x"].tolist(), float), rows["g"].to_numpy(float))
+    return LevelModel(np.array(rows["x"].tolist(), float), rows["g"].to_numpy(float), pairs)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "reading_level") -> DataFrame:
+def reading_levels(
+    documents: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "reading_level",
+    sample: int = SAMPLE, pairs: int = PAIRS, model: LevelModel | None = None,
+) -> DataFrame:
     """(doc_id, reading_level) of each document with at least 60 words of English prose in its message.
 
     Null, empty and prose-free texts give no row; rows repeated with one id give one row;
-    without usable ratings every such document gets level 2. Features are computed once
-    and written; the linear score is evaluated in Spark.
+    without usable ratings every such document gets level 2. With a model, such as a saved one,
+    nothing is trained. Features are computed once and written; the linear score is evaluated in Spark.
     """
-    from .storage import written
-
-    feats = written(document_features(documents, id_col, text_col), "reading-features")
-    model = fit_levels(feats, labels, id_col, grade_col)
+    feats = document_features(documents, id_col, text_col)
+    if model is None:
+        feats = written(feats, "reading-features")
+        model = fit_levels(feats, labels, id_col, grade_col, sample, pairs)
     if model is None:
         level = F.lit(2)
     else:

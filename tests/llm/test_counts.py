@@ -156,3 +156,36 @@ def test_huge_baskets_are_dealt_out(spark):
     assert got == want
     rows = {r["item"]: (r["n"], dict(r["neighbours"])) for r in cooccurrence.stripes(df, part=7).collect()}
     assert {k: v[0] for k, v in rows.items()} == single and all(rows[x][1][y] == want[x, y][0] for x, y in want)
+
+
+def test_joint_errors_hold_over_a_grid():
+    """Full likelihood: over bases, sizes and overlaps the deviations are those of one standard error."""
+    rng = np.random.default_rng(12)
+    for base in (1.05, 1.2, 2.0):
+        m = 1024
+
+        def sketch(n, m=m, base=base):
+            k = np.zeros(m, int)
+            v = np.minimum(np.maximum(np.floor(1 - np.log(rng.random(n)) / math.log(base)), 1), sketches.limit_for(base)).astype(int)
+            np.maximum.at(k, rng.integers(0, m, n), v)
+            return k
+
+        off = []
+        for x, y, z in [(5000, 5000, 500), (3000, 8000, 6000), (100, 100, 30_000), (50, 2000, 30), (20_000, 10_000, 3000)] * 12:
+            c = sketch(z)
+            union, both, jaccard, jaccard_error, union_error, both_error = sketches.joint_estimates(np.maximum(sketch(x), c), np.maximum(sketch(y), c), m, base)
+            off.append(((union - x - y - z) / union_error, (both - z) / both_error, (jaccard - z / (x + y + z)) / jaccard_error))
+        off = np.array(off)
+        assert (np.abs(off) < 2).mean() > 0.92 and np.abs(off).max() < 4.5
+
+
+def test_joint_takes_any_base_and_refuses_too_many_keys(spark):
+    import pytest
+
+    rows = spark.range(0, 6000).select(F.explode(F.array(F.when(F.col("id") < 4000, "a"), F.when(F.col("id") >= 2000, "b"))).alias("key"), F.col("id").cast("string").alias("u"))
+    parts = sketches.registers(rows, ["key"], ["u"], base=1.02)
+    assert sketches.limit_for(1.02) > 255
+    out = sketches.joint(parts, [], "key", ["u"], base=1.02).first()
+    assert abs(out["jaccard_est"] - 1 / 3) < 4 * out["jaccard_error"]
+    with pytest.raises(ValueError, match="at most 1"):
+        sketches.joint(parts, [], "key", ["u"], base=1.02, max_keys=1)

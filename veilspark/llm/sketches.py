@@ -141,72 +141,90 @@ def joint_estimate(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float)
     return union, both, jaccard, error
 
 
+def _outcomes(k: np.ndarray, l: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of register values: the coefficients (corner, rate, pair) of the rates in P(A <= k - i, B <= l - j), and their signs."""
+    tail = lambda v: np.where(v < 0, np.inf, base ** -np.maximum(v, 0.0))
+    corners = [(tail(k - i), tail(l - j), 1.0 if i == j else -1.0) for i in (0, 1) for j in (0, 1)]
+    return np.stack([np.stack([a, b, np.maximum(a, b)]) for a, b, _ in corners]), np.array([s for _, _, s in corners])
+
+
+def _score_and_information(rates: np.ndarray, coefficients: np.ndarray, signs: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of the observed pairs, its gradient in the three rates, and the observed information (outer products)."""
+    finite = np.where(np.isinf(coefficients), 0.0, coefficients)
+    gone = np.isinf(coefficients).any(axis=1)
+    e = np.where(gone, 0.0, np.exp(-np.minimum(np.einsum("r,crp->cp", rates, finite), 700.0))) * signs[:, None]
+    p = np.maximum(e.sum(axis=0), 1e-300)
+    slope = -np.einsum("cp,crp->rp", e, finite) / p
+    return float(n @ np.log(p)), slope @ n, (slope * n) @ slope.T
+
+
 def joint_estimates(only_a: np.ndarray, only_b: np.ndarray, m: int, base: float) -> tuple[float, float, float, float, float, float]:
     """(union, intersection, jaccard, jaccard error, union error, intersection error) of two sets from their aligned registers, by maximum likelihood.
 
-    With rates x, y, z for "only a", "only b", "both", the pair of register values has
-    P(A <= k, B <= l) = exp(-x b^-k - y b^-l - z b^-min(k, l)). x + z and y + z are fixed at
-    the maximum-likelihood counts of the two sets; z maximises the likelihood of the
-    observed pairs (golden-section search). All errors are one standard error: the likelihood's
-    curvature gives that of z, to which the sampling error of the counts is added. Those of
-    union and intersection are in identifiers, as an intersection may be 0.
+    With rates x, y, z a register for "only a", "only b", "both", the pair of register values has
+    P(A <= k, B <= l) = exp(-x b^-k - y b^-l - z b^-min(k, l)). All three rates maximise the likelihood of
+    the observed pairs together (scoring steps, halved until the likelihood rises, from the counts of either set). The inverse of the
+    information at the maximum is the covariance of the rates; the errors, one standard error each, follow from it
+    by their derivatives. Those of union and intersection are in identifiers, as an intersection may be 0.
     """
     na, nb = (_cardinality(dict(zip(*np.unique(s[s > 0], return_counts=True))), m, base) / m for s in (only_a, only_b))
     if na == 0 or nb == 0:
         return m * (na + nb), 0.0, 0.0, 0.0, m * (na + nb) * relative_error(m, base), 0.0
-    pairs, n = np.unique(np.stack([only_a, only_b]), axis=1, return_counts=True)
-    tail = lambda k: np.where(k < 0, np.inf, base ** -np.maximum(k, 0.0))
-    k, l = pairs.astype(float)
-    corners = [(tail(k - i), tail(l - j), 1 if i == j else -1) for i in (0, 1) for j in (0, 1)]
-
-    def likelihood(share: float) -> float:
-        z = share * min(na, nb)
-        with np.errstate(invalid="ignore", over="ignore"):
-            p = sum(sign * np.exp(-np.minimum((na - z) * a + (nb - z) * b + z * np.maximum(a, b), 700.0)) for a, b, sign in corners)
-        return float((n * np.log(np.maximum(p, 1e-300))).sum())
-
-    # Shares of 0 and 1 exactly make single outcomes impossible or 0 * inf: stay a little inside.
-    low, high = 1e-6, 1 - 1e-6
-    ratio = (math.sqrt(5) - 1) / 2
-    c, d = high - ratio * (high - low), low + ratio * (high - low)
-    fc, fd = likelihood(c), likelihood(d)
-    for _ in range(26):
-        if fc > fd:
-            high, d, fd = d, c, fc
-            c = high - ratio * (high - low)
-            fc = likelihood(c)
+    wide = limit_for(base) + 1
+    coded, n = np.unique(only_a.astype(np.int64) * wide + only_b, return_counts=True)
+    n = n.astype(float)
+    coefficients, signs = _outcomes((coded // wide).astype(float), (coded % wide).astype(float), base)
+    least = 1e-7 * min(na, nb)
+    start = max(((na - z, nb - z, z) for z in (s * min(na, nb) for s in (0.02, 0.2, 0.5, 0.8, 0.98))), key=lambda r: _score_and_information(np.array(r), coefficients, signs, n)[0])
+    rates = np.maximum(np.array(start), least)
+    value, gradient, information = _score_and_information(rates, coefficients, signs, n)
+    for _ in range(40):
+        # A rate at its lower bound that wants to go lower stays out of the step.
+        free = (rates > least) | (gradient > 0)
+        step = np.zeros(3)
+        ridge = 1e-9 * np.trace(information) * np.eye(3)
+        step[free] = np.linalg.solve((information + ridge)[np.ix_(free, free)], gradient[free])
+        scale = 1.0
+        while scale > 1e-4:
+            tried = np.maximum(rates + scale * step, least)
+            result = _score_and_information(tried, coefficients, signs, n)
+            if result[0] >= value - 1e-12:
+                break
+            scale /= 2
         else:
-            low, c, fc = c, d, fd
-            d = low + ratio * (high - low)
-            fd = likelihood(d)
-    share = (low + high) / 2
-    z = share * min(na, nb)
-    union = na + nb - z
-    h = 1e-3
-    at = min(max(share, 2 * h), 1 - 2 * h)
-    curvature = -(likelihood(at + h) - 2 * likelihood(at) + likelihood(at - h)) / h**2
-    # d(jaccard)/d(share) = min (na + nb) / union^2; the sampling error of the counts adds the base's own term.
-    slope = min(na, nb) * (na + nb) / union**2
-    of_share = 1 / math.sqrt(max(curvature, 1.0))
-    of_count = relative_error(m, base)
-    error = slope * of_share + z / union * of_count
-    of_z = m * min(na, nb) * of_share
-    return float(m * union), float(m * z), float(z / union), float(error), float(of_z + m * union * of_count), float(of_z + m * z * of_count)
+            break
+        moved = np.abs(tried - rates).max() / rates.max()
+        rates, (value, gradient, information) = tried, result
+        if moved < 1e-7:
+            break
+    x, y, z = rates
+    union = x + y + z
+    covariance = np.linalg.inv(information + 1e-9 * np.trace(information) * np.eye(3))
+    error = lambda d: float(np.sqrt(max(d @ covariance @ d, 0.0)))
+    of_jaccard = error(np.array([-z, -z, x + y]) / union**2)
+    z_shown = 0.0 if z <= 2 * least else z
+    return float(m * union), float(m * z_shown), float(z_shown / union), of_jaccard, m * error(np.ones(3)), m * error(np.array([0.0, 0.0, 1.0]))
 
 
 _JOINT = ("union_est", "intersection_est", "jaccard_est", "jaccard_error", "union_error", "intersection_error")
 
 
-def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
+def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequence[str], m: int = M, base: float = BASE, max_keys: int = 2_000) -> DataFrame:
     """(groups, what, key_a, key_b, union_est, intersection_est, jaccard_est, jaccard_error, union_error, intersection_error) for all pairs of keys in a group.
 
-    For keys of a small dictionary, such as entity types: the sketches of one (group, what)
-    are brought together, packed, at most 3 m bytes each; null keys don't form a set. Takes m up to 65,536 and bases whose
-    registers fit a byte (from 1.18).
+    For keys of a small dictionary, such as entity types or days: more than ``max_keys`` of them in a group are refused,
+    as their pairs grow with the square. The sketches of one (group, what) are brought together, packed, in three bytes a
+    register, or four where the base makes values that need two (below 1.18); null keys don't form a set. Takes m up to 65,536.
     """
-    # Three bytes a register: two for its number, one for its value.
-    packed = F.lpad(F.hex((F.col("slot") % m * 256 + F.col("k")).cast("bigint")), 6, "0")
+    if m > 1 << 16:
+        raise ValueError("joint estimates take at most 65,536 registers")
+    width = 1 if limit_for(base) < 256 else 2
+    # Two bytes a register for its number, then its value.
+    packed = F.lpad(F.hex((F.col("slot") % m * 256**width + F.col("k")).cast("bigint")), 4 + 2 * width, "0")
     sketch = parts.where(F.col(key).isNotNull()).groupBy(*groups, _what(identifiers, m), key).agg(F.unhex(F.array_join(F.collect_list(packed), "")).alias("s"))
+    most = parts.where(F.col(key).isNotNull()).select(*groups, key).distinct().groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) > max_keys:
+        raise ValueError(f"{most} keys in one group; at most {max_keys} are paired")
     fields = [*(parts.schema[g] for g in groups), T.StructField("what", T.StringType()), *(T.StructField(f"{key}_{x}", parts.schema[key].dataType) for x in "ab")]
     schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in _JOINT)])
     a = sketch.withColumnsRenamed({key: f"{key}_a", "s": "sa"})
@@ -215,8 +233,8 @@ def joint(parts: DataFrame, groups: Sequence[str], key: str, identifiers: Sequen
 
     def dense(s: bytes) -> np.ndarray:
         out = np.zeros(m, np.int64)
-        x = np.frombuffer(s, np.uint8).reshape(-1, 3).astype(np.int64)
-        out[x[:, 0] * 256 + x[:, 1]] = x[:, 2]
+        x = np.frombuffer(s, np.uint8).reshape(-1, 2 + width).astype(np.int64)
+        out[x[:, 0] * 256 + x[:, 1]] = x[:, 2] if width == 1 else x[:, 2] * 256 + x[:, 3]
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

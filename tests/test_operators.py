@@ -206,3 +206,34 @@ def test_long_rows_take_linear_time(spark):
     began = time.time()
     r = df.select(F.size("a.entries").alias("n"), F.right("a.text", F.lit(16)).alias("end")).first()
     assert r["n"] == 20_000 and r["end"] == " [PHONE_20000] é " [-16:] and time.time() - began < 60
+
+
+def test_standard_input_is_one_text(spark):
+    import io
+
+    from veilspark.sources import readers
+
+    assert readers.read_stdin(spark, io.StringIO("a@b.com\n")).first()["text"] == "a@b.com\n"
+    with pytest.raises(ValueError, match="blank"):
+        readers.read_stdin(spark, io.StringIO("  \n"))
+
+
+def test_event_queries(spark):
+    from veilspark.operators import events
+
+    rows = spark.createDataFrame([(1, "s", "u", "SSN", 2, "2026-01-01"), (2, "s", "v", "EMAIL", 9, "2026-01-02"), (3, None, "u", "EMAIL", 1, "2026-01-03")], "id long, session_id string, user_id string, t string, n int, at string")
+    severity = F.when(F.col("t") == "SSN", "CRITICAL").when(F.col("n") > 5, "high").otherwise("low")
+    log = events.event_rows(rows, F.lit("pii_detected"), severity, F.struct("t", "n"), "id", "at")
+    assert [r["id"] for r in events.query_events(log, limit=2).collect()] == [3, 2]
+    assert [r["id"] for r in events.query_events(log, least_severity="high", user_id="u").collect()] == [1]
+    assert events.query_events(log, F.lit("2026-01-02"), session_id="s").first()["details"] == '{"t":"EMAIL","n":9}'
+
+
+def test_release_deletes_what_was_written(spark):
+    import os
+
+    from veilspark.sources import storage
+
+    df = storage.written(spark.range(3), "probe")
+    path = df.inputFiles()[0].replace("file://", "")
+    assert df.count() == 3 and os.path.exists(path) and storage.release(spark) >= 1 and not os.path.exists(path)

@@ -14,16 +14,17 @@ FORMATS = ("json", "text", "parquet")
 def spread(df: DataFrame) -> DataFrame:
     """A small input that comes in fewer parts than there are task slots, dealt out to all of them; a larger one as it is.
 
-    For operators whose work per row outweighs moving the row once. The parts are reckoned from the planner's size of the input.
+    For operators whose work per row outweighs moving the row once. A scan makes no parts below the cost of opening a
+    file, so by the planner's size of the input it has too few if that many for each slot don't fit in.
     """
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+        least = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes")))
     except Exception:  # noqa: BLE001  the estimate is an internal of the planner
         return df
-    return df.repartition(slots) if size < slots * part else df
+    return df.repartition(slots) if size < slots * least else df
 
 
 def read_stdin(spark: SparkSession, stream=None) -> DataFrame:

@@ -130,27 +130,32 @@ def read_lexicon(vocabularies: Iterable[str] = VOCABULARIES) -> dict[str, int]:
     return out
 
 
-_WORDS = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)")
+def _twice(pattern: str, flags: int = 0) -> tuple[re.Pattern, re.Pattern]:
+    """A pattern for any text and its equal, faster form for ASCII text."""
+    return re.compile(pattern, flags), re.compile(pattern, flags | re.A)
+
+
+_WORDS = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)"), re.compile(r"([A-Za-z]+(?:['-][A-Za-z]+)*)")
 _CURRENCY_NEXT = re.compile(rf"\s*(?:{CURRENCY})(?!\w)", re.I)
 _AT = r"(?:@|\s*[\[({<]\s*(?:at|@|a)\s*[\])}>]\s*)"
 _DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
-_EMAIL = re.compile(
+_EMAIL = _twice(
     rf"(?<![\w.+'%-])[^\W_][\w.+'%-]*(?:{_AT}{_LABEL}(?:(?:{_DOT}|\s+dot\s+){_LABEL})+|\s+at\s+{_LABEL}(?:(?:\.|\s+dot\s+){_LABEL})+(?![\w.+'%-]*(?:\s+at\s|\s*(?:@|[\[({{<]))))", re.I
 )
-_MAYBE_MAIL = re.compile(r"[\[({<]\s*(?:at|a)\s*[\])}>]|\sat\s+[\w-]+(?:\.\w|\s+dot\s)")
+_MAYBE_MAIL = _twice(r"[\[({<]\s*(?:at|a)\s*[\])}>]|\sat\s+[\w-]+(?:\.\w|\s+dot\s)")
 _HOST = re.compile(rf"{_AT}|\s+at\s+", re.I)
 _SPELLED = re.compile(r"[\[({<]|\sdot\s", re.I)
 _TLD = re.compile(r"(?:\.|dot[\])}>]?\s*|[\[({<]\s*\.\s*[\])}>]\s*)([^\W\d_]{2,})$", re.I)
 _LINK_BEFORE = re.compile(r"://\S*$")
-_NUMBER = re.compile(r"(?<![\w#@])(?<!\d[./:-])(?:\+\s?)?\(?\d(?:[ \t\n\r().\-/]{0,3}\d){4,}(?:\s*(?:x|ext\.?|extension)\s*\d{1,5})?(?![\w@])", re.I)
+_NUMBER = _twice(r"(?<![\w#@])(?<!\d[./:-])(?:\+\s?)?\(?\d(?:[ \t\n\r().\-/]{0,3}\d){4,}(?:\s*(?:x|ext\.?|extension)\s*\d{1,5})?(?![\w@])", re.I)
 _EXTENSION = re.compile(r"\s*(?:x|ext\.?|extension)\s*\d{1,5}$", re.I)
-_CODED = re.compile(
+_CODED = _twice(
     r"(?<![\w#@/])(?=[A-Za-z]{0,6}[ -]?\d)(?:[A-Za-z]{2}(?: ?\d{2}){3} ?[A-Za-z]|[XYZxyz]-?\d{7}-?[A-Za-z]|\d{8}-?[A-Za-z]|[A-Za-z]{1,3}-?\d{5,9}"
     r"|\d \d{2} \d{2} (?:\d{2}|2[ABab]) \d{3} \d{3}(?: \d{2})?|(?=[A-Za-z]*\d[A-Za-z\d]*\d)(?=\d*[A-Za-z])[A-Za-z\d]{6,})(?![\w@-])"
 )
 _BEHIND_ID = re.compile(r"[\s\"':=#(,.-]*(?P<id>(?=[^\W_]*\d|[^\W\d_]+[./-]\d)[^\W_]+(?:[ ./-][^\W_]*\d[^\W_]*)*)(?![\w@])")
-_STREET = re.compile(
+_STREET = _twice(
     r"(?<![\w.,-])\d{1,5}(?:\s*(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|chemin|all[ée]e|impasse|place|quai|route|cours)\s+(?:(?:de|du|des|la|le|les|d'|l')\s*)*[^\W\d_][\w'’-]*"
     r"|(?<![\w.,-])\d{1,5}\s?[a-z]?\s+(?:(?:n|s|e|w|north|south|east|west)\.?\s+)?(?:[^\W\d_][\w'’-]*\s+){1,3}?(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|close|blvd|boulevard|way|terrace|row|crescent|square|place|pl|hill|gardens|walk|parade|mews)(?!\w)"
     r"|(?<!\w)(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|ronda|traves[íi]a|carrera|via|viale|piazza|corso|rua|travessa|pra[çc]a|ul\.?|ulica|aleja|ул\.?)\s+(?:[^\W\d_][\w'’.-]*\s*){1,4},?\s*(?:n[º°.]\s*)?\d{1,4}(?!\w)"
@@ -222,14 +227,16 @@ def _verhoeff(digits: str) -> bool:
     return c == 0
 
 
+_SEPARATORS = str.maketrans("", "", " -./()+\t\n\r")
 _DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 
 def checked(span: str) -> bool:
     """Whether the check digits (or letter) of some national number of this length hold."""
-    plain = "".join(c for c in span if c.isalnum()).upper()
-    if not plain.isascii():
+    plain = span.translate(_SEPARATORS)
+    if len(plain) not in (9, 11, 12, 15) or not plain.isascii():
         return False
+    plain = plain.upper()
     if plain.isdigit():
         n = len(plain)
         if n == 9:
@@ -272,11 +279,11 @@ class _Text:
 
     def __init__(self, text: str, lexicon: dict[str, int]) -> None:
         self.text, self.low, self.lexicon = text, text.lower(), lexicon
-        self.parts = _WORDS.split(text)
+        self.parts = _WORDS[text.isascii()].split(text)
         self.words = self.parts[1::2]
         self.lows = [w.lower() for w in self.words]
         known = lexicon.get
-        self.flags = [known(w, 0) for w in self.lows] if text.isascii() and "-" not in text and "'" not in text else [known(w) or _unlisted(w, lexicon) for w in self.lows]
+        self.flags = [known(w, 0) for w in self.lows] if text.isascii() and "-" not in text and "'" not in text else [known(w) or (0 if w.isascii() and w.isalpha() else _unlisted(w, lexicon)) for w in self.lows]
         self.ends = list(accumulate(map(len, self.parts)))
         self.latin = text.isascii()
 
@@ -325,7 +332,7 @@ class _Text:
 
 def _emails(t: _Text) -> Iterator[Candidate]:
     text, known = t.text, t.lexicon.get
-    for m in _EMAIL.finditer(text):
+    for m in _EMAIL[t.latin].finditer(text):
         span = m.group()
         plain = "@" in span
         spelled = bool(_SPELLED.search(span))
@@ -344,7 +351,7 @@ def _emails(t: _Text) -> Iterator[Candidate]:
 
 def _numbers(t: _Text) -> Iterator[Candidate]:
     text = t.text
-    for m in _NUMBER.finditer(text):
+    for m in _NUMBER[t.latin].finditer(text):
         span = m.group()
         start, end = m.span()
         whole = core = span
@@ -382,7 +389,7 @@ def _id_candidate(t: _Text, start: int, end: int, span: str, cue: int, linked: b
 
 
 def _coded(t: _Text) -> Iterator[Candidate]:
-    for m in _CODED.finditer(t.text):
+    for m in _CODED[t.latin].finditer(t.text):
         span = m.group()
         cue, linked = t.cue(m.start(), m.end())
         yield _id_candidate(t, m.start(), m.end(), span, cue, linked, False, sum(map(str.isdecimal, span)))
@@ -417,7 +424,7 @@ def _behind_id_cues(t: _Text, taken: list[Candidate]) -> Iterator[Candidate]:
 
 def _addresses(t: _Text) -> Iterator[Candidate]:
     text, flags = t.text, t.flags
-    for m in _STREET.finditer(text):
+    for m in _STREET[t.latin].finditer(text):
         start, end = m.span()
         i = t._before(start) + 1
         own = []
@@ -456,16 +463,16 @@ def _persons(t: _Text) -> Iterator[Candidate]:
     words, flags, parts, text = t.words, t.flags, t.parts, t.text
     n = len(words)
     # Where nearly all words or none are capitalised, capitals say nothing.
-    mixed = 0 < sum([w[0].isupper() for w in words]) <= 0.7 * n + 1
+    capitals = [w[0].isupper() for w in words]
+    mixed = 0 < sum(capitals) <= 0.7 * n + 1
     stop = _STOP | PERSON
     i = 0
     while i < n:
-        f, w = flags[i], words[i]
-        capital = w[0].isupper()
+        f, capital = flags[i], capitals[i]
         if not (f & GIVEN or capital and not f & stop or not capital and not f & (COMMON | stop) and i and flags[i - 1] & (PERSON | TITLE | FUNCTION)):
             i += 1
             continue
-        if len(w) == 1 or parts[2 * i] and parts[2 * i][-1] in _GLUE or parts[2 * i + 2] and parts[2 * i + 2][0] in _GLUE:  # part of a code or handle
+        if len(words[i]) == 1 or parts[2 * i] and parts[2 * i][-1] in _GLUE or parts[2 * i + 2] and parts[2 * i + 2][0] in _GLUE:  # part of a code or handle
             i += 1
             continue
         title = i > 0 and flags[i - 1] & TITLE and _title_gap(parts[2 * i])
@@ -487,7 +494,7 @@ def _persons(t: _Text) -> Iterator[Candidate]:
             if g & stop and not g & GIVEN or parts[2 * j + 2] and parts[2 * j + 2][0] in _GLUE:
                 break
             if mixed and capital:
-                if not words[j][0].isupper():
+                if not capitals[j]:
                     break
             elif g & COMMON:
                 break
@@ -532,12 +539,16 @@ def _persons(t: _Text) -> Iterator[Candidate]:
         i = max(b, j)
 
 
+#: What between a cue and a name says that they don't belong together.
+_APART = frozenset(".!?;|0123456789")
+
+
 def _cued(t: _Text, i: int) -> bool:
     """Whether a cue for a person stands before word i, with nothing but linking words between."""
     for k in range(i - 1, max(-1, i - 5), -1):
         gap = t.parts[2 * (k + 1)]
         if not gap.isspace():
-            if any(c in gap for c in ".!?;|") or "\n" in gap and "," not in gap or any(map(str.isdecimal, gap)):
+            if not _APART.isdisjoint(gap) or "\n" in gap and "," not in gap:
                 return False
         if t.flags[k] & PERSON:
             return True
@@ -557,7 +568,7 @@ def candidates(text: str, lexicon: dict[str, int] | None = None) -> list[Candida
     """Candidate spans of a text in its consistent form: (type, start, end, votes, shape)."""
     t = _Text(text, default_lexicon() if lexicon is None else lexicon)
     out: list[Candidate] = []
-    if "@" in text or ("at" in t.lows or "a" in t.lows) and _MAYBE_MAIL.search(t.low):
+    if "@" in text or ("at" in t.lows or "a" in t.lows) and _MAYBE_MAIL[t.latin].search(t.low):
         out = list(_emails(t))
     mails = [(m[1], m[2]) for m in out]
     if _DIGIT.search(text):
@@ -568,7 +579,7 @@ def candidates(text: str, lexicon: dict[str, int] | None = None) -> list[Candida
             some |= f
         if some & ID:
             out += _behind_id_cues(t, numbers)
-        if some & STREET or any(w.endswith(STREET_ENDINGS) for w in t.lows):
+        if some & STREET or any([e in t.low for e in STREET_ENDINGS]):
             out += _addresses(t)
     people = _persons(t)
     out += [p for p in people if not any(s < p[2] and p[1] < e for s, e in mails)] if mails else people

@@ -20,7 +20,7 @@ def _parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("detect", "anonymize", "deanonymize", "scan"):
         p = commands.add_parser(name)
-        p.add_argument("path", help="a text file or a directory")
+        p.add_argument("path", help="a text file, a directory, or - for standard input")
         p.add_argument("--detector", action="append", default=None)
         p.add_argument("--pattern", default="*.txt")
         p.add_argument("--recursive", action="store_true")
@@ -48,9 +48,15 @@ def main(arguments: list[str] | None = None) -> int:
         return int(bool(problems))
     spark = attach(SparkSession.builder.appName("veilspark").getOrCreate())
     used = tuple(args.detector or ("regex",))
-    texts = readers.read_text_files(spark, args.path, args.pattern, args.recursive)
+    if args.path == "-":
+        texts = readers.read_stdin(spark).select(F.lit("-").alias("path"), "text")
+    else:
+        texts = readers.read_text_files(spark, args.path, args.pattern, args.recursive)
     if args.command == "scan":
-        print(json.dumps(scan.scan_totals(scan.scan(texts, "path", "text", used)).first().asDict()))
+        files = texts.withColumn("error", F.lit(None).cast("string")) if args.path == "-" else readers.scan_directory(spark, args.path, args.pattern, args.recursive)
+        for row in files.where("error is not null").select("path", "error").toLocalIterator():
+            print(json.dumps(row.asDict()))
+        print(json.dumps(scan.scan_totals(scan.scan(files, "path", "text", used)).first().asDict()))
     elif args.command == "detect":
         found = report.report(F.col("text"), detectors.detect(F.col("text"), used, args.min_confidence))
         for row in texts.select("path", report.report_text(found).alias("r")).toLocalIterator():
@@ -65,7 +71,7 @@ def main(arguments: list[str] | None = None) -> int:
                 print(row["value"])
     else:
         with open(args.mapping, encoding="utf-8") as f:
-            mapping = F.from_json(F.lit(f.read()), "map<string,string>")
+            mapping = readers.parse_mapping(F.lit(f.read()))
         for row in texts.select(rewrite.deanonymize(F.col("text"), mapping).alias("t")).toLocalIterator():
             print(row["t"])
     return 0
